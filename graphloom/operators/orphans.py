@@ -38,7 +38,8 @@ def find_orphans(references: DataFrame, parents: DataFrame, hot_share: float = H
     """
     refs = references.where(F.col("key").isNotNull()).select("tab", "rec_id", "key", "at")
     counts = refs.groupBy("tab", "key").agg(F.count("*").alias("_n"))
-    counts = cut(counts.join(F.broadcast(counts.agg(F.sum("_n").alias("_all"))), F.col("_n") > F.col("_all") * hot_share).select(F.col("tab").alias("_t"), F.col("key").alias("_k"), F.ceil(F.col("_n") / (F.col("_all") * hot_share)).cast("int").alias("_slices")))
+    limit = max(1.0, refs.count() * hot_share)
+    counts = cut(counts.where(F.col("_n") > limit).select(F.col("tab").alias("_t"), F.col("key").alias("_k"), F.ceil(F.col("_n") / limit).cast("int").alias("_slices")))
     hot = F.broadcast(counts)
 
     def sliced(df: DataFrame) -> DataFrame:
