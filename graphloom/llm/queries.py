@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions.keys import language_code
-from graphloom.llm import bpe, frequent, leaks, terms
+from graphloom.llm import bpe, frequent, leaks, markup, terms, truncation
 from graphloom.plans.general import FIELDS_SQL, link_fields
 from graphloom.registry import Registry
 from graphloom.session import cut
@@ -27,6 +27,17 @@ def revision_terms(spark: SparkSession, d: str) -> tuple[DataFrame, int]:
     return terms.record_terms(revisions, "id", "text"), terms.count_records(revisions, "id", "text")
 
 
+@query("p2_found")
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return markup.structured_pieces(table(spark, d, "revisions"))
+
+
+@query("p2_clean")
+def p2_clean(spark: SparkSession, d: str) -> DataFrame:
+    """Every revision row with its clean text."""
+    return markup.clean_texts(table(spark, d, "revisions"))
+
+
 @query("p4_found", f"""
 WITH {TERMS_SQL}, scored AS (
   SELECT id, term, round(tf.tf * (1 - ln(stats.records) / ln(total.records)), 12) AS w
@@ -112,3 +123,14 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 def p8_cleaned(spark: SparkSession, d: str) -> DataFrame:
     """The documents with leaked passages taken out."""
     return leaks.remove_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+@query("p9_found")
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.text_stops(table(spark, d, "documents")).where("truncated").select(F.col("id").alias("doc_id"))
+
+
+@query("p9_by_source")
+def p9_by_source(spark: SparkSession, d: str) -> DataFrame:
+    """How often each source truncates."""
+    return truncation.truncation_by_source(truncation.text_stops(table(spark, d, "documents")))
