@@ -151,7 +151,7 @@ def heavy_keys(df: DataFrame, group: str, key: str, share: float) -> DataFrame:
     found = key_ranks(codes, [group], "_h", F.sequence(step, F.greatest(F.col("n"), step), step), buckets=4096)
     found = cut(found.where(F.col("code") >= 0).select(F.col(group).alias("_g"), F.col("code").alias("_c"), "n").distinct())
     totals = codes.groupBy(F.col(group).alias("_t")).agg(F.count("*").alias("_total"))
-    keyed = df.where(F.col(key).isNotNull()).withColumn("_h", hashed)
+    keyed = df.where(F.col(key).isNotNull()).select(group, key, hashed.alias("_h"))
     hits = keyed.join(F.broadcast(found.select("_g", "_c")), keyed[group].eqNullSafe(F.col("_g")) & (F.col("_h") == F.col("_c")), "left_semi")
     counts = hits.groupBy(group, key).agg(F.count("*").alias("n"))
     return counts.join(F.broadcast(totals), counts[group].eqNullSafe(F.col("_t"))).where(F.col("n") * den >= F.col("_total") * num).select(group, key, "n")
