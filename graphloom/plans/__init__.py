@@ -6,6 +6,6 @@ from graphloom.registry import Registry
 
 
 def registries() -> list[Registry]:
-    from graphloom.plans import general
+    from graphloom.plans import general, graph, wiki
 
-    return [general.registry]
+    return [general.registry, graph.registry, wiki.registry]

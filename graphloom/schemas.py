@@ -1,0 +1,16 @@
+"""Schemas of the relations as Spark DDL; tests and readers share them."""
+
+PAGES_RAW = "title string, text string"
+NAMESPACES = "lang string, ns_id int, name string"
+LINKS_RAW = "src string, dst string, labels array<string>"
+REDIRECTS = "src string, dst string"
+DABS = "title string, template string"
+LABEL_INDEX = "text string, dst string, n bigint"
+DICTIONARY = "name string, id bigint"
+CANDIDATES = "key string, candidate string"
+LATENT_ROWS = "doc string, pos int, is_amb boolean, target string, text string, topic int, sampled string"
+POSTERIOR = "doc string, pos int, cand string, p double"
+CLASSES = "class_id string, class_idx int, member string"
+CASES = "case_id bigint, class_id string, dab string, text string, src string, old_links array<string>, new_links array<string>"
+SCORES = "case_id bigint, class_idx int, score double"
+ROC = "correct int, score double"
