@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from graphloom.operators.ranking import rank_within
+from graphloom.operators.ranking import rank_within, running_within
 
 
 def replaced_links(old: DataFrame, new: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -80,7 +80,7 @@ def accuracy(hits: DataFrame) -> DataFrame:
 def cumulative_precision(hits: DataFrame) -> DataFrame:
     """``n``, ``precision``: the share of correct ones among the best ``n`` by score, ties by case id."""
     scored = hits.withColumn("_by", -F.coalesce("score", F.lit(float("-inf"))))
-    ranked = rank_within(scored, [], ["_by", "case_id"], "n", of="correct", total="_right")
+    ranked = running_within(scored, [], ["_by", "case_id"], n=("sum", F.lit(1).cast("bigint")), _right=("sum", F.col("correct")))
     return ranked.select("n", (F.col("_right") / F.col("n")).alias("precision"))
 
 

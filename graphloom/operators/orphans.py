@@ -4,16 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from graphloom.session import cut
+from graphloom.operators.ranking import running_within
 
-#: A key with more references than this share of all is split over several tasks.
-HOT_SHARE = 0.001
 FOREVER = "9999-12-31 00:00:00"
 
 
-def find_orphans(references: DataFrame, parents: DataFrame, hot_share: float = HOT_SHARE) -> DataFrame:
+def find_orphans(references: DataFrame, parents: DataFrame) -> DataFrame:
     """``tab``, ``rec_id``, ``period``, ``state`` of each reference without a parent at its time.
 
     ``references`` has ``tab``, ``rec_id``, ``key``, ``at``; ``parents`` has ``tab``,
@@ -29,36 +26,21 @@ def find_orphans(references: DataFrame, parents: DataFrame, hot_share: float = H
     and is 'missing' or 'deleted'. Empty tables give an empty result; without
     parents every reference is 'missing'.
 
-    Both streams are partitioned by key, sorted by time and merged in one pass: the
-    running maximum of ``valid_to`` over the parents that began so far tells whether
-    one of them is valid, and a first record per key carries the latest beginning.
-    References of keys above ``hot_share`` are dealt to several slices of the key and
-    the key's parents are repeated in each; at most 1/hot_share keys are hot, so
-    the table of hot keys that is broadcast stays that small at any size.
+    References and parents form one stream, partitioned and sorted by range of key
+    and time and merged in one pass: the running maximum of ``valid_to`` over the
+    parents that began so far tells whether one of them is valid, and a first record
+    per key carries the latest beginning. A key with very many references or
+    parents goes on over several ranges (see ``running_within``).
     """
-    refs = references.where(F.col("key").isNotNull()).select("tab", "rec_id", "key", "at")
-    counts = refs.groupBy("tab", "key").agg(F.count("*").alias("_n"))
-    limit = max(1.0, refs.count() * hot_share)
-    counts = cut(counts.where(F.col("_n") > limit).select(F.col("tab").alias("_t"), F.col("key").alias("_k"), F.ceil(F.col("_n") / limit).cast("int").alias("_slices")))
-    hot = F.broadcast(counts)
-
-    def sliced(df: DataFrame) -> DataFrame:
-        return df.join(hot, (df["tab"] == hot["_t"]) & (df["key"] == hot["_k"]), "left").withColumn("_slices", F.coalesce("_slices", F.lit(1)))
-
     none = F.lit(None).cast("timestamp_ntz")
-    spans = parents.where(F.col("key").isNotNull()).select("tab", "key", F.col("valid_from").cast("timestamp_ntz").alias("_from"), F.coalesce(F.col("valid_to").cast("timestamp_ntz"), F.lit(FOREVER).cast("timestamp_ntz")).alias("_to")).distinct()
-    # One group per key; the spans of a key with very many parents merge before the shuffle.
-    first = spans.groupBy("tab", "key").agg(F.max("_from").alias("_last")).select("tab", "key", none.alias("_at"), F.lit(0).alias("_kind"), F.lit(True).alias("_known"), "_last", none.alias("_to"))
-    begun = spans.where(F.col("_from").isNotNull()).select("tab", "key", F.col("_from").alias("_at"), F.lit(1).alias("_kind"), F.lit(True).alias("_known"), none.alias("_last"), "_to")
-    side = sliced(first.unionByName(begun)).withColumn("_slice", F.explode(F.sequence(F.lit(0), F.col("_slices") - 1)))
-    side = side.withColumn("rec_id", F.lit(None).cast("bigint"))
-    main = sliced(refs.withColumn("_at", F.col("at").cast("timestamp_ntz"))).withColumn("_slice", F.pmod(F.xxhash64("rec_id", "_at"), F.col("_slices")).cast("int"))
-    main = main.withColumns({"_kind": F.lit(2), "_known": F.lit(None).cast("boolean"), "_last": none, "_to": none})
-    cols = ["tab", "key", "_slice", "_at", "_kind", "_known", "_last", "_to", "rec_id"]
-    stream = main.select(*cols).unionByName(side.select(*cols))
-
-    w = Window.partitionBy("tab", "key", "_slice").orderBy(F.col("_at").asc_nulls_first(), "_kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    merged = stream.select("tab", "rec_id", "_at", "_kind", F.max("_known").over(w).alias("_seen"), F.max("_last").over(w).alias("_latest"), F.max("_to").over(w).alias("_until"))
+    refs = references.where(F.col("key").isNotNull()).select("tab", "key", F.col("at").cast("timestamp_ntz").alias("_at"), F.lit(2).alias("_kind"), F.lit(None).cast("boolean").alias("_known"), none.alias("_last"), none.alias("_to"), "rec_id")
+    spans = parents.where(F.col("key").isNotNull()).select("tab", "key", F.col("valid_from").cast("timestamp_ntz").alias("_from"), F.coalesce(F.col("valid_to").cast("timestamp_ntz"), F.lit(FOREVER).cast("timestamp_ntz")).alias("_to"))
+    nobody = F.lit(None).cast("bigint").alias("rec_id")
+    first = spans.groupBy("tab", "key").agg(F.max("_from").alias("_last")).select("tab", "key", none.alias("_at"), F.lit(0).alias("_kind"), F.lit(True).alias("_known"), "_last", none.alias("_to"), nobody)
+    # Of parents that begin together the one that lasts longest counts.
+    begun = spans.where(F.col("_from").isNotNull()).groupBy("tab", "key", "_from").agg(F.max("_to").alias("_to")).select("tab", "key", F.col("_from").alias("_at"), F.lit(1).alias("_kind"), F.lit(True).alias("_known"), none.alias("_last"), "_to", nobody)
+    stream = refs.unionByName(first).unionByName(begun)
+    merged = running_within(stream, ["tab", "key"], ["_at", "_kind"], _seen=("max", F.col("_known")), _latest=("max", F.col("_last")), _until=("max", F.col("_to")))
     served = F.coalesce(F.col("_until") > F.col("_at"), F.lit(False))
     state = F.when(F.col("_seen").isNull(), "missing").when(F.col("_latest") > F.col("_at"), "late").otherwise("deleted")
     orphans = merged.where((F.col("_kind") == 2) & ~served)

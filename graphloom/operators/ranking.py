@@ -1,42 +1,46 @@
-"""Ranks within groups of any size."""
+"""Ranks and running aggregates within groups of any size."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from graphloom.session import cut
 
+_COMBINE = {"sum": lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)), "max": lambda a, b: F.greatest(a, b)}
+_OF = {"sum": F.sum, "max": F.max}
 
-def rank_within(df: DataFrame, group: list[str], order: list, name: str = "rank", of: str | None = None, total: str = "running") -> DataFrame:
-    """Adds ``name``, the row number from 1 within each group by ``order``; with ``of``
-    also ``total``, the running sum of that column.
+
+def running_within(df: DataFrame, group: list[str], order: list[str], **running: tuple[str, Column]) -> DataFrame:
+    """Adds a column per keyword: the running 'sum' or 'max' of an expression within each group by ``order``.
 
     The rows are sorted by range of group and order, so a group of any size, also
-    the whole table where ``group`` is empty, is spread over tasks; what a group has
-    in earlier ranges is added as an offset, of which each range has at most one.
-    ``order`` must tell the rows of a group apart for the numbers to be defined.
+    the whole table where ``group`` is empty, is spread over tasks. Each range is
+    scanned once from its start; what a group has in earlier ranges is put before
+    it, which concerns at most one group per range, so that the table of these
+    beginnings that is broadcast has at most one row per range. Nulls come first in
+    the order and are left out of sums and maxima. ``order`` must tell the rows of
+    a group apart for the results to be defined.
     """
+    names = list(running)
     ordered = cut(df.repartitionByRange(*group, *order).withColumn("_part", F.spark_partition_id()))
-    value = F.coalesce(F.col(of), F.lit(0)) if of else F.lit(0)
-    counts = ordered.groupBy(*group, "_part").agg(F.count("*").alias("_n"), F.sum(value).alias("_s"))
-    if group:
-        before = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    else:
-        before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
-    offsets = counts.withColumn("_offset", F.sum("_n").over(before)).withColumn("_base", F.sum("_s").over(before)).where("_offset > 0").select("_part", *[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)], "_offset", "_base")
-    w = Window.partitionBy("_part", *group).orderBy(*order)
-    local = ordered.withColumn("_local", F.row_number().over(w))
-    if of:
-        local = local.withColumn("_sum", F.sum(value).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    joined = local.join(F.broadcast(offsets.withColumnRenamed("_part", "_p")), _same(group), "left")
-    sums = [(F.col("_sum") + F.coalesce("_base", F.lit(0))).alias(total)] if of else []
-    return joined.select(*df.columns, *sums, (F.col("_local") + F.coalesce("_offset", F.lit(0))).cast("bigint").alias(name))
-
-
-def _same(group: list[str]):
+    each = ordered.groupBy(*group, "_part").agg(*[_OF[kind](e).alias(f"_v{i}") for i, (kind, e) in enumerate(running.values())])
+    # One row per range and group in it; without groups one per range.
+    before = (Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = each.withColumn("_earlier", F.count("*").over(before)).select(
+        F.col("_part").alias("_p"), *[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)], "_earlier", *[_OF[kind](f"_v{i}").over(before).alias(f"_b{i}") for i, (kind, _) in enumerate(running.values())]
+    )
+    bases = F.broadcast(bases.where("_earlier > 0").drop("_earlier"))
+    w = Window.partitionBy("_part", *group).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = ordered.select("*", *[_OF[kind](e).over(w).alias(f"_r{i}") for i, (kind, e) in enumerate(running.values())])
     on = F.col("_part") == F.col("_p")
     for i, g in enumerate(group):
         on = on & F.col(g).eqNullSafe(F.col(f"_g{i}"))
-    return on
+    joined = local.join(bases, on, "left")
+    return joined.select(*df.columns, *[_COMBINE[running[n][0]](F.col(f"_r{i}"), F.col(f"_b{i}")).alias(n) for i, n in enumerate(names)])
+
+
+def rank_within(df: DataFrame, group: list[str], order: list[str], name: str = "rank") -> DataFrame:
+    """Adds ``name``, the row number from 1 within each group by ``order`` (see ``running_within``)."""
+    return running_within(df, group, order, **{name: ("sum", F.lit(1).cast("bigint"))})
