@@ -47,7 +47,7 @@ def from_code(c: Column, kind: T.DataType) -> Column:
     return F.date_from_unix_date(c.cast("int"))
 
 
-def key_ranks(df: DataFrame, keys: list[str], code: str, ranks: Column, buckets: int = 256, small: int = SMALL) -> DataFrame:
+def key_ranks(df: DataFrame, keys: list[str], code: str, ranks: Column, buckets: int = 256, small: int = SMALL, least: Column | None = None) -> DataFrame:
     """Columns ``keys``, ``n``, ``rank``, ``code``: the value of each wanted rank of each key.
 
     ``code`` is a bigint column whose largest and smallest value per key lie less
@@ -56,6 +56,10 @@ def key_ranks(df: DataFrame, keys: list[str], code: str, ranks: Column, buckets:
     repeated ranks come once. Rows with a null ``code`` are ignored; keys may be
     null and null keys form one key. An empty input gives an empty result.
 
+    With ``least``, an expression over ``n``, only values with at least so many rows are
+    wanted: ranks in a bucket with fewer rows are given up, and others are followed
+    until their bucket holds one value.
+
     Groups of at most ``small`` rows are sorted within one task. There are at most
     rows / small larger ones, and ``small`` is raised for inputs of more than
     ``MAX_CELLS`` * ``small`` rows, so the broadcast state never exceeds
@@ -94,9 +98,14 @@ def key_ranks(df: DataFrame, keys: list[str], code: str, ranks: Column, buckets:
         s = state.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_id").alias("_c"), "n", "rank", "_left")
         on = _all([*(hist[k].eqNullSafe(s[f"_k{i}"]) for i, k in enumerate(keys)), hist["_parent"] == s["_c"], F.col("_left") <= F.col("_upto"), F.col("_left") > F.col("_upto") - F.col("_rows")])
         found = cut(hist.join(s, on).select(*keys, "_cell", "_lo", "_hi", "n", "_rows", "rank", (F.col("_left") - F.col("_upto") + F.col("_rows")).alias("_left")))
+        if least is not None:
+            found = found.where(F.col("_rows") >= least)
         edge = F.when(F.col("_left") == 1, F.col("_lo")).when(F.col("_left") == F.col("_rows"), F.col("_hi")).when(F.col("_lo") == F.col("_hi"), F.col("_lo"))
         parts.append(found.withColumn("code", edge).where(F.col("code").isNotNull()).select(*keys, "n", "rank", "code"))
         found = found.where(edge.isNull())
+        if least is not None:
+            state = found.withColumn("_id", numbered)
+            continue
         little = found.where(F.col("_rows") <= small)
         picked = little.groupBy(*keys, "_cell", "n").agg(F.collect_list(F.struct("rank", "_left")).alias("_ranks"))
         p = picked.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_cell").alias("_c"), "n", "_ranks")
@@ -148,7 +157,7 @@ def heavy_keys(df: DataFrame, group: str, key: str, share: float) -> DataFrame:
     hashed = F.expr(f"shiftrightunsigned(xxhash64({key}), 2)")
     codes = cut(df.select(group, F.when(F.col(key).isNull(), F.lit(-1).cast("bigint")).otherwise(hashed).alias("_h")))
     step = F.expr(f"greatest(1, n * {num} div {den})").cast("bigint")
-    found = key_ranks(codes, [group], "_h", F.sequence(step, F.greatest(F.col("n"), step), step), buckets=4096)
+    found = key_ranks(codes, [group], "_h", F.sequence(step, F.greatest(F.col("n"), step), step), buckets=4096, least=step)
     found = cut(found.where(F.col("code") >= 0).select(F.col(group).alias("_g"), F.col("code").alias("_c"), "n").distinct())
     totals = codes.groupBy(F.col(group).alias("_t")).agg(F.count("*").alias("_total"))
     keyed = df.where(F.col(key).isNotNull()).select(group, key, hashed.alias("_h"))

@@ -38,9 +38,9 @@ def links(spark: SparkSession, d: str) -> DataFrame:
     return raw.select("link_id", "src", canonical_target(F.col("dst")).alias("dst"), "labels", "seen_at")
 
 
-def labelled(spark: SparkSession, d: str, *keep: str) -> DataFrame:
+def labelled(spark: SparkSession, d: str, of: DataFrame | None = None) -> DataFrame:
     """A row per label that has a token, with ``k``, its place from 1."""
-    e = links(spark, d).select("link_id", "src", "dst", "seen_at", F.posexplode("labels").alias("_k", "_label"))
+    e = (of if of is not None else links(spark, d)).select("link_id", "src", "dst", "seen_at", F.posexplode("labels").alias("_k", "_label"))
     return e.select("link_id", "src", "dst", "seen_at", (F.col("_k") + 1).alias("k"), normal_label(F.col("_label")).alias("text")).where("text IS NOT NULL")
 
 
@@ -306,27 +306,34 @@ cases AS (SELECT row_number() OVER (ORDER BY dab, src) AS case_id, dab AS class_
 answers AS (SELECT DISTINCT c.case_id, m.member FROM cases c JOIN classes m USING (class_id) JOIN edges e ON e.src = c.src AND e.dst = m.member)"""
 
 
-def cases(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Cases, one per page and ambiguous page it links to, and the classes, one per candidate;
-    the answer of a case are the candidates that its page links to as well."""
-    c = cut(candidates(spark, d))
-    classes = cut(rank_within(c, ["dab"], ["candidate"]).select(F.col("dab").alias("class_id"), (F.col("rank") - 1).cast("int").alias("class_idx"), F.col("candidate").alias("member")))
-    amb = labelled(spark, d).join(c.select(F.col("dab").alias("dst")).distinct(), "dst", "left_semi").groupBy(F.col("dst").alias("dab"), "src").agg(F.min("text").alias("text"))
-    found = rank_within(amb, [], ["dab", "src"], "case_id").withColumn("class_id", F.col("dab"))
-    edges = links(spark, d).select(F.col("src").alias("_s"), F.col("dst").alias("_d")).distinct()
-    hits = found.select("case_id", "class_id", "src").join(classes, "class_id").join(edges, (F.col("src") == F.col("_s")) & (F.col("member") == F.col("_d"))).groupBy("case_id").agg(F.array_sort(F.collect_set("member")).alias("_new"))
-    none = F.array().cast("array<string>")
-    return cut(found.join(hits, "case_id", "left").select("case_id", "class_id", "dab", "src", "text", none.alias("old_links"), F.coalesce("_new", none).alias("new_links"))), classes
+class Cases:
+    """Cases, one per page and ambiguous page it links to, and ``classes``, one per candidate;
+    the answer of a case are the candidates that its page links to as well.
 
+    The links and their labels are written once and read by every scorer.
+    """
 
-def context(spark: SparkSession, d: str, **options) -> scorers.Context:
-    return scorers.Context(links=labelled(spark, d), docs=docs(spark, d), options=options)
+    def __init__(self, spark: SparkSession, d: str, **options) -> None:
+        self.links = cut(links(spark, d).select("link_id", "src", "dst", "labels", "seen_at"))
+        self.labels = cut(labelled(spark, d, self.links).select("src", "dst", "text"))
+        c = cut(L.candidates(self.links, table(spark, d, "dabs")))
+        self.classes = cut(rank_within(c, ["dab"], ["candidate"]).select(F.col("dab").alias("class_id"), (F.col("rank") - 1).cast("int").alias("class_idx"), F.col("candidate").alias("member")))
+        amb = self.labels.join(c.select(F.col("dab").alias("dst")).distinct(), "dst", "left_semi").groupBy(F.col("dst").alias("dab"), "src").agg(F.min("text").alias("text"))
+        found = rank_within(amb, [], ["dab", "src"], "case_id").withColumn("class_id", F.col("dab"))
+        edges = self.links.select(F.col("src").alias("_s"), F.col("dst").alias("_d")).distinct()
+        hit = (F.col("src") == F.col("_s")) & (F.col("member") == F.col("_d"))
+        hits = found.select("case_id", "class_id", "src").join(self.classes, "class_id").join(edges, hit).groupBy("case_id").agg(F.array_sort(F.collect_set("member")).alias("_new"))
+        none = F.array().cast("array<string>")
+        self.cases = cut(found.join(hits, "case_id", "left").select("case_id", "class_id", "dab", "src", "text", none.alias("old_links"), F.coalesce("_new", none).alias("new_links")))
+        self.context = scorers.Context(links=self.labels, docs=docs(spark, d), options=options)
 
+    def score(self, name: str | scorers.Scorer) -> DataFrame:
+        f = scorers.SCORERS[name] if isinstance(name, str) else name
+        return f(self.context, self.cases, self.classes)
 
-def scored(spark: SparkSession, d: str, name: str, **options) -> DataFrame:
-    c, k = cases(spark, d)
-    s = scorers.SCORERS[name](context(spark, d, **options), c, k)
-    return s.select("case_id", "class_idx", F.round("score", 6).alias("score"))
+
+def scored(spark: SparkSession, d: str, name: str | scorers.Scorer, **options) -> DataFrame:
+    return Cases(spark, d, **options).score(name).select("case_id", "class_idx", F.round("score", 6).alias("score"))
 
 
 BASELINE_SQL = """per AS (SELECT class_id, class_idx, count(DISTINCT lsrc) AS n FROM classes LEFT JOIN (SELECT DISTINCT src AS lsrc, dst AS ldst FROM labelled) l ON member = ldst GROUP BY class_id, class_idx),
@@ -351,9 +358,7 @@ WITH {CASES_SQL}, {BASELINE_SQL}, {LINK_TEXT_SQL}
 SELECT case_id, class_idx, round(0.25 * b.score + 0.75 * t.score, 6) AS score FROM baseline b JOIN link_text t USING (case_id, class_idx)
 """)
 def weighted_combination(spark: SparkSession, d: str) -> DataFrame:
-    c, k = cases(spark, d)
-    s = scorers.weighted({"baseline": 0.25, "link_text": 0.75})(context(spark, d), c, k)
-    return s.select("case_id", "class_idx", F.round("score", 6).alias("score"))
+    return scored(spark, d, scorers.weighted({"baseline": 0.25, "link_text": 0.75}))
 
 
 @query("tfidf_scores", f"""
@@ -382,9 +387,9 @@ SELECT a, b, round(CASE WHEN coalesce(o, 0) = 0 THEN 0 ELSE exp(-(ln(greatest(na
 FROM p LEFT JOIN n na ON na.dst = a LEFT JOIN n nb ON nb.dst = b LEFT JOIN o USING (a, b)
 """)
 def relatedness(spark: SparkSession, d: str) -> DataFrame:
-    c, k = cases(spark, d)
-    pairs = scorers.members_of(c, k).select(F.col("src").alias("a"), F.col("member").alias("b"))
-    o = similarity.neighbour_overlaps(pairs, context(spark, d).edges)
+    c = Cases(spark, d)
+    pairs = scorers.members_of(c.cases, c.classes).select(F.col("src").alias("a"), F.col("member").alias("b"))
+    o = similarity.neighbour_overlaps(pairs, c.context.edges)
     return o.select("a", "b", F.round(vectors.relatedness(F.col("size_a"), F.col("size_b"), F.col("overlap"), scorers.ARTICLES), 6).alias("rel"))
 
 
@@ -496,9 +501,8 @@ hits AS (SELECT c.case_id, max(b.score) AS score, CAST(coalesce(bool_or(a.member
 
 
 def hits(spark: SparkSession, d: str, k: int = 1) -> DataFrame:
-    c, classes = cases(spark, d)
-    ranked = evaluation.rank_classes(scorers.baseline(context(spark, d), c, classes))
-    return evaluation.top_k_hits(ranked, classes, c, k)
+    c = Cases(spark, d)
+    return evaluation.top_k_hits(evaluation.rank_classes(c.score("baseline")), c.classes, c.cases, k)
 
 
 @query("topk_accuracy", f"WITH {HITS_SQL} SELECT CAST(sum(correct) AS BIGINT) AS correct, count(*) AS total, round(sum(correct) / count(*), 9) AS accuracy FROM hits")
@@ -526,9 +530,8 @@ SELECT CASE WHEN a.member IS NOT NULL THEN '1' ELSE '2' END || ' qid:' || c.case
 FROM cases c JOIN classes k USING (class_id) JOIN baseline b ON b.case_id = c.case_id AND b.class_idx = k.class_idx JOIN link_text t ON t.case_id = c.case_id AND t.class_idx = k.class_idx LEFT JOIN answers a ON a.case_id = c.case_id AND a.member = k.member
 """)
 def svm_rank_rows(spark: SparkSession, d: str) -> DataFrame:
-    c, k = cases(spark, d)
-    ctx = context(spark, d)
-    return evaluation.svm_rank_lines(c, k, [scorers.baseline(ctx, c, k), scorers.link_text(ctx, c, k)])
+    c = Cases(spark, d)
+    return evaluation.svm_rank_lines(c.cases, c.classes, [c.score("baseline"), c.score("link_text")])
 
 
 # Topic model
