@@ -15,6 +15,8 @@ from graphloom.session import cut
 
 #: Shorter texts aren't looked up as beginnings of others: too many begin alike.
 LEAST = 64
+#: So many hashes are broadcast at most, 8 bytes each.
+MOST_HASHES = 500_000
 
 #: Marks that sources put at a cut.
 MARKS = regex.compile(
@@ -120,7 +122,11 @@ def longer_copies(df: DataFrame, text: str, least: int = LEAST) -> DataFrame:
     starts = cut(starts.select("h", "level", F.xxhash64(F.substring("text", F.lit(1), F.expr("shiftleft(1, level)"))).alias("p")))
     shared = starts.groupBy("level", "p").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b").select("level", "p")
     able = cut(starts.join(shared, ["level", "p"], "left_semi").select("h").distinct())
-    texts = t.join(able, "h", "left_semi").groupBy("h").agg(F.min("text").alias("text"))
+    # Few hashes are sent to the texts; for more, copies merge before the texts are shuffled.
+    if able.count() <= MOST_HASHES:
+        texts = t.join(F.broadcast(able), "h", "left_semi").groupBy("h").agg(F.min("text").alias("text"))
+    else:
+        texts = t.groupBy("h").agg(F.min("text").alias("text")).join(able, "h", "left_semi")
     pairs = cut(texts.repartitionByRange("text").sortWithinPartitions("text").select("h", "text").mapInArrow(_neighbours, "h bigint, rest string, part int, side int, text string"))
     ends = pairs.where("side IS NOT NULL")
     by = Window.orderBy("part", "side")  # two rows per partition
