@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions.keys import language_code
-from graphloom.llm import bpe, frequent, leaks, markup, terms, truncation
+from graphloom.llm import bpe, frequent, leaks, markup, terms, truncation, wrappers
 from graphloom.plans.general import FIELDS_SQL, link_fields
 from graphloom.registry import Registry
 from graphloom.session import cut
@@ -38,6 +38,15 @@ def p2_clean(spark: SparkSession, d: str) -> DataFrame:
     return markup.clean_texts(table(spark, d, "revisions"))
 
 
+@query("p2_own_content")
+def p2_own_content(spark: SparkSession, d: str) -> DataFrame:
+    """The HTML revisions without what pages of their language have in common; the language of
+    a page stands for the host, which these tables don't have."""
+    pages = table(spark, d, "pages").select(F.col("id").alias("page_id"), language_code(F.col("language")).alias("host")).dropDuplicates(["page_id"])
+    r = table(spark, d, "revisions").where(F.col("text").rlike(r"(?i)^\s*<(?:div|p|h[1-6]|html|body|!doctype)\b")).dropDuplicates(["id"])
+    return wrappers.own_content(r.join(pages, "page_id", "left"), "id", "host", "text")
+
+
 @query("p4_found", f"""
 WITH {TERMS_SQL}, scored AS (
   SELECT id, term, round(tf.tf * (1 - ln(stats.records) / ln(total.records)), 12) AS w

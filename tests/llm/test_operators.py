@@ -7,7 +7,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from graphloom.llm import bpe, frequent, leaks, markup, terms, truncation
+from graphloom.llm import bpe, frequent, leaks, markup, terms, truncation, wrappers
 
 REVISIONS = "id bigint, page_id bigint, text string, n int, term string, _t string"
 
@@ -107,3 +107,11 @@ def test_truncated(spark):
     assert got == {1: ("sentence", False), 2: ("copy", True), 3: ("inside", True), 4: ("blank", False), 5: ("blank", False), 6: ("entry", False), 7: ("copy", True)}
     assert rows(truncation.truncation_by_source(truncation.text_stops(df))) == sorted([("a", 3, 2, 0.666667), (None, 0, 0, 0.0), ("b", 2, 1, 0.5)], key=repr)
     assert truncation.text_stops(df.where("false")).collect() == []
+
+
+def test_own_content(spark):
+    page = "<div><b>Menu</b></div><p>own {}</p>"
+    df = spark.createDataFrame([(i, "h", page.format(i), 0) for i in range(20)] + [(98, "other", "<p>x", 0), (99, "h", None, 0), (97, None, "<p>y", 0)], "id bigint, host string, text string, tree int")
+    got = dict(rows(wrappers.own_content(df.repartition(4), "id", "host", "text")))
+    assert got == {**{i: f"own {i}" for i in range(20)}, 98: "x", 99: None, 97: "y"}
+    assert wrappers.own_content(df.where("false"), "id", "host", "text").collect() == []

@@ -5,7 +5,7 @@ import random
 
 import pytest
 
-from graphloom.llm import bpe, leaks, markup, truncation
+from graphloom.llm import bpe, leaks, markup, truncation, wrappers
 
 HAVE = os.path.exists(bpe.vocabulary_path("byte_bpe_50k.json"))
 
@@ -176,3 +176,25 @@ def test_stops():
         assert s(cut, "Title") in truncation.CUT, cut
     assert s(None) == s("") == s(" \n") == "blank"
     assert s("Some Title", "Some Title") == "title"
+
+
+PAGE = "<html><body><div class=nav><a>Home</a><a>About</a></div><h1>{0}</h1>{1}<ul>{2}</ul><p>Copyright the town</body></html>"
+
+
+def test_wrapper_induction():
+    pages = [PAGE.format(f"Title {i}", "<p>Body text %d" % i + ("<p>More" if i % 3 == 0 else ""), "".join(f"<li>item {i} {k}" for k in range(i % 4))) for i in range(12)]
+    trees = [wrappers.parse(p) for p in pages]
+    t = wrappers.parse(pages[0])
+    for p in pages[1:]:
+        wrappers.merge(t, wrappers.parse(p))
+    halves = [wrappers.parse(pages[0]), wrappers.parse(pages[6])]
+    for k in range(5):
+        wrappers.merge(halves[0], wrappers.parse(pages[k + 1]))
+        wrappers.merge(halves[1], wrappers.parse(pages[k + 7]))
+    wrappers.merge(halves[0], halves[1])
+    for root in (t, wrappers.Node.unpack(halves[0].pack())):
+        assert root.n == 12
+        own = wrappers.own_texts(root, trees[5], root.n)
+        assert own == ["Title 5", "Body text 5", "item 5 0"]
+    assert wrappers.own_texts(None, trees[1], 1)[0] == "Home"
+    assert wrappers.match(wrappers.parse("<p>a<b>c</b>"), wrappers.parse("<p>a<i>x</i><b>d</b>")) == 1 + 1 + 2 + 1 + 1
