@@ -92,6 +92,27 @@ def split_title(df: DataFrame, title: str, namespaces: DataFrame) -> DataFrame:
     return d.select(*keep, F.col("_known").alias("language"), F.coalesce("_id", F.lit(0)).alias("namespace_id"), capitalize(collapse(short)).alias("short_title"))
 
 
+def resolve_titles(links: DataFrame, page: str, namespaces: DataFrame) -> DataFrame:
+    """Adds ``language``, ``namespace_id``, ``short_title``, ``page_language`` and ``dst``, the key of
+    the page that ``title`` means on the page with the key ``page``.
+
+    A title without a language is in the page's own; one that begins with a slash is
+    a subpage of the page unless that is in the main namespace. A key is
+    ``language:Name:Title``, without a name in the main namespace; where the page's
+    key has no known language, nothing comes before the title.
+    """
+    langs = namespaces.select(F.col("lang").alias("_l")).distinct()
+    own = F.lower(F.substring_index(page, ":", 1))
+    inner = F.expr(f"substring(`{page}`, instr(`{page}`, ':') + 1)")
+    sub = F.col("title").startswith("/") & (F.instr(inner, ":") > 0)
+    d = links.withColumn("_title", F.when(sub, F.concat(inner, "title")).otherwise(F.col("title")))
+    d = d.join(langs, F.lower(F.substring_index("_title", ":", 1)) == F.col("_l"), "left").withColumn("_full", F.when(F.col("_l").isNotNull(), F.col("_title")).otherwise(F.concat_ws(":", own, "_title"))).drop("_l")
+    d = split_title(d, "_full", namespaces).withColumn("page_language", own)
+    names = namespaces.where("name <> ''").groupBy(F.col("lang").alias("_lang"), F.col("ns_id").alias("_ns")).agg(F.min("name").alias("_name"))
+    d = d.join(names, (d["language"] == names["_lang"]) & (d["namespace_id"] == names["_ns"]), "left")
+    return d.withColumn("dst", F.concat_ws(":", "language", "_name", "short_title")).drop("_title", "_full", "_lang", "_ns", "_name")
+
+
 def admitted_links(links: DataFrame, page_language: str = "page_language") -> DataFrame:
     """Links that count: those with a leading colon, and those to the page's own language
     outside categories (14) and files (6), with titles of at most 255 characters."""

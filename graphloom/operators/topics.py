@@ -68,6 +68,33 @@ def vocabulary(state: DataFrame) -> tuple[int, int]:
     return r[0], r[1]
 
 
+def sparse_vectors(state: DataFrame) -> DataFrame:
+    """``w``, ``counts``: the topics of each word as (n, topic), by count and then topic descending."""
+    return article_topics(state).groupBy("w").agg(F.sort_array(F.collect_list(F.struct("n", "topic")), asc=False).alias("counts"))
+
+
+def packing(topics: int) -> tuple[int, int, int]:
+    """Shift, multiplier and mask that pack a count and a topic below ``topics`` into one number."""
+    shift = max(topics, 1).bit_length() if topics & (topics - 1) else max(topics.bit_length() - 1, 0)
+    return shift, 1 << shift, (1 << shift) - 1
+
+
+def packed(n: Column, topic: Column, topics: int) -> Column:
+    """Count and topic in one bigint that sorts by count and then topic."""
+    return F.shiftleft(n.cast("bigint"), packing(topics)[0]).bitwiseOR(topic.cast("bigint"))
+
+
+def unpacked(c: Column, topics: int) -> tuple[Column, Column]:
+    shift, _, mask = packing(topics)
+    return F.shiftrightunsigned(c, shift), c.bitwiseAND(F.lit(mask).cast("bigint")).cast("int")
+
+
+def top_candidates(probabilities: DataFrame, k: int = 10) -> DataFrame:
+    """The ``k`` likeliest candidates of each link, ties in byte order."""
+    w = Window.partitionBy("doc", "pos").orderBy(F.col("p").desc(), "cand")
+    return probabilities.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
 def topic_articles(state: DataFrame, more_than: int = 10) -> DataFrame:
     """``topic``, ``article``, ``n``: articles with more than so many rows in a topic."""
     return article_topics(state).where(F.col("n") > more_than).select("topic", F.col("w").alias("article"), "n")

@@ -566,6 +566,22 @@ def topics_top50(spark: SparkSession, d: str) -> DataFrame:
     return topics.top_articles(topics.topic_articles(state(spark, d)))
 
 
+@query("sparse_topic_vectors", f"""
+WITH {STATE_SQL}, c AS (SELECT w, topic, count(*) AS n FROM assigned GROUP BY w, topic) SELECT w, list(n || ' ' || topic ORDER BY n DESC, topic DESC) AS counts FROM c GROUP BY w
+""")
+def sparse_topic_vectors(spark: SparkSession, d: str) -> DataFrame:
+    shown = F.transform("counts", lambda s: F.concat_ws(" ", s["n"].cast("string"), s["topic"].cast("string")))
+    return topics.sparse_vectors(state(spark, d)).select("w", shown.alias("counts"))
+
+
+@query("lda_topics")
+def lda_topics(spark: SparkSession, d: str) -> DataFrame:
+    """The topic vector of each page by latent Dirichlet allocation over its words."""
+    from graphloom.operators.lda import topic_vectors
+
+    return topic_vectors(bags(spark, d), topics=TOPICS, iterations=5)
+
+
 @query("posterior_candidates", f"""
 WITH {STATE_SQL}, size AS (SELECT count(DISTINCT w) AS v, count(DISTINCT text) AS t FROM assigned),
 nt AS (SELECT topic, count(*) AS n FROM assigned GROUP BY topic), nwt AS (SELECT w, topic, count(*) AS n FROM assigned GROUP BY w, topic),

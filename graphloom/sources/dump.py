@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.operators.ranking import rank_within
+
 DUMP_NAME = r"([a-z]+)wiki-(\d+)-pages-articles\.xml"
 #: Namespaces every wiki has, by id, where a dump names none.
 DEFAULT_NAMESPACES = {-2: "Media", -1: "Special", 0: "", 1: "Talk", 2: "User", 3: "User talk", 4: "Project", 5: "Project talk", 6: "File", 7: "File talk", 8: "MediaWiki", 9: "MediaWiki talk", 10: "Template", 11: "Template talk", 12: "Help", 13: "Help talk", 14: "Category", 15: "Category talk"}
@@ -50,10 +52,13 @@ def read_languages(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """``file``, ``pos``, ``value``: the lines of all files below ``path``, numbered from 0 per file."""
-    texts = spark.read.option("recursiveFileLookup", "true").option("wholetext", "true").text(path)
-    lines = texts.select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split(F.regexp_replace("value", r"\r?\n$", ""), r"\r?\n")).alias("pos", "value"))
-    return lines
+    """``file``, ``pos``, ``value``: the lines of all files below ``path``, numbered from 0 per file.
+
+    Files are read in splits; a line's number comes from its split and its place there.
+    """
+    lines = spark.read.option("recursiveFileLookup", "true").text(path)
+    placed = lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"), "value")
+    return rank_within(placed, ["file"], ["_block", "_at"]).select("file", (F.col("rank") - 1).alias("pos"), "value")
 
 
 def read_vectors(spark: SparkSession, labels: DataFrame, path: str, skip_first: bool) -> DataFrame:
