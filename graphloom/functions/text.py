@@ -56,6 +56,13 @@ def unescape_basic(c: Column) -> Column:
     return c
 
 
+def escape_basic(c: Column) -> Column:
+    """The characters that XML reserves as named references."""
+    for char, ref in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&apos;")):
+        c = F.replace(c, F.lit(char), F.lit(ref))
+    return c
+
+
 def without_language(title: Column) -> Column:
     """What follows the first colon; the whole where there is none."""
     return F.regexp_replace(title, "^[^:]*:", "")

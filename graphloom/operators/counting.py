@@ -42,6 +42,16 @@ def trigrams(docs: DataFrame, doc: str, text: str, tokenizer: str = "simple") ->
     return t.select("doc", *[F.element_at("t", F.col("i") + k).alias(f"t{k + 1}") for k in range(3)])
 
 
+def line_trigrams(lines: DataFrame) -> DataFrame:
+    """``doc``, ``t1``, ``t2``, ``t3``: three lines in a row of files with a token per line.
+
+    ``lines`` has ``file``, ``pos``, ``value``; lines meet their successors by position, so a
+    file of any size is spread over tasks.
+    """
+    at = lambda k: lines.select("file", (F.col("pos") - k).alias("pos"), F.col("value").alias(f"t{k + 1}"))
+    return at(0).join(at(1), ["file", "pos"]).join(at(2), ["file", "pos"]).select(F.col("file").alias("doc"), "t1", "t2", "t3")
+
+
 def trigram_counts(grams: DataFrame) -> DataFrame:
     return grams.groupBy("t1", "t2", "t3").agg(F.count("*").alias("n"))
 

@@ -122,3 +122,14 @@ def split_ambiguous(links: DataFrame, dabs: DataFrame) -> DataFrame:
     """``links`` with ``is_amb``, whether the target is a disambiguation page."""
     titles = dabs.select(F.col("title").alias("_dab")).distinct()
     return links.join(titles, links["dst"] == titles["_dab"], "left").withColumn("is_amb", F.col("_dab").isNotNull()).drop("_dab")
+
+
+def neighbour_features(edges: DataFrame, dabs: DataFrame, seed: int = 0) -> DataFrame:
+    """``dab``, ``src``, ``picked``, ``feature``: for each page that links to an ambiguous page one of its
+    other targets, drawn by hash, and the pages that link to that one."""
+    e = edges.select("src", "dst").distinct()
+    titles = dabs.select(F.col("title").alias("dab")).distinct()
+    sources = e.join(titles, e["dst"] == titles["dab"]).select("dab", "src")
+    others = sources.join(e, "src").where("dst <> dab")
+    first = others.groupBy("dab", "src").agg(F.min(F.struct(F.xxhash64(F.lit(seed), "src", "dst").alias("h"), "dst")).alias("_p")).select("dab", "src", F.col("_p.dst").alias("picked"))
+    return first.join(e.select(F.col("dst").alias("picked"), F.col("src").alias("feature")), "picked").select("dab", "src", "picked", "feature")

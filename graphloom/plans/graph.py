@@ -685,6 +685,16 @@ def walk_scores(spark: SparkSession, d: str) -> DataFrame:
     return scored(spark, d, "walk", tol=1e-4)
 
 
+@query("walk_radius_scores")
+def walk_radius_scores(spark: SparkSession, d: str) -> DataFrame:
+    return scored(spark, d, "walk_radius")
+
+
+@query("neighbour_features")
+def neighbour_features(spark: SparkSession, d: str) -> DataFrame:
+    return L.neighbour_features(links(spark, d), table(spark, d, "dabs"))
+
+
 # Trigrams and wikitext
 
 GRAMS_SQL = """t AS (SELECT doc_id, regexp_extract_all(lower(text), '\\p{L}+') AS t FROM documents), i AS (SELECT t, unnest(range(1, len(t) - 1)) AS i FROM t),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.operators.ranking import rank_within
@@ -85,3 +85,18 @@ def lookup(df: DataFrame, key: str, *values: str) -> DataFrame:
 def write_lines(df: DataFrame, line: str, path: str) -> None:
     """One text line per row; refuses to overwrite."""
     df.select(line).write.mode("errorifexists").text(path)
+
+
+def write_scores(scores: DataFrame, path: str) -> None:
+    """Adds score rows to a folder of JSON lines."""
+    scores.write.mode("append").json(path)
+
+
+def write_roc(hits: DataFrame, path: str) -> None:
+    """``correct`` and ``score``, tab-separated, best first; refuses to overwrite."""
+    hits.select("correct", "score").orderBy(F.col("score").desc()).write.mode("errorifexists").option("sep", "\t").csv(path)
+
+
+def xml_values(text: Column, path: str) -> Column:
+    """The texts at an XPath of an XML column, an array."""
+    return F.xpath(text, F.lit(path))

@@ -300,7 +300,7 @@ def test_scorers(spark):
     for name, f in scorers.SCORERS.items():
         got = {r["class_idx"]: r["score"] for r in f(ctx, cases, classes).collect()}
         assert set(got) == {0, 1}, name
-        if name not in ("svm", "tfidf_walk", "jaccard_walk", "out_links", "tfidf_in_links", "tfidf_plain", "relatedness"):
+        if name not in ("svm", "tfidf_walk", "jaccard_walk", "out_links", "tfidf_in_links", "tfidf_plain", "relatedness", "walk_radius"):
             assert got[0] > got[1], name
     base = scorers.baseline(ctx, cases, classes)
     assert {r["class_idx"]: r["score"] for r in base.collect()} == {0: pytest.approx(4 / 6), 1: pytest.approx(2 / 6)}
@@ -315,3 +315,32 @@ def test_cumulative_precision(spark):
     hits = spark.createDataFrame([(1, 0.9, 1), (2, 0.8, 0), (3, 0.7, 1)], "case_id bigint, score double, correct int")
     assert [(r["n"], round(r["precision"], 6)) for r in evaluation.cumulative_precision(hits).orderBy("n").collect()] == [(1, 1.0), (2, 0.5), (3, 0.666667)]
     assert [r["case_id"] for r in evaluation.skip_cases(hits, 2).collect()] == [3]
+
+
+def test_small_functions(spark):
+    assert one(spark, text.escape_basic(F.col("c")), c="<a & 'b'>") == "&lt;a &amp; &apos;b&apos;&gt;"
+    assert one(spark, text.unescape_basic(F.col("c")), c="&lt;a &amp;amp; &#39;b") == "<a &amp; 'b"
+    assert one(spark, text.quote_escaped(F.col("c")), c='a"\\') == 'a\\"\\\\'
+    lines = spark.createDataFrame([("f", i, t) for i, t in enumerate("abcd")] + [("g", 0, "x"), ("g", 1, "y")], "file string, pos bigint, value string")
+    assert rows(counting.line_trigrams(lines)) == [("f", "a", "b", "c"), ("f", "b", "c", "d")]
+    e = edges(spark, [("s", "D"), ("s", "A"), ("t", "A"), ("u", "D")])
+    dabs = spark.createDataFrame([("D", None)], "title string, template string")
+    assert rows(L.neighbour_features(e, dabs)) == [("D", "s", "A", "s"), ("D", "s", "A", "t")]
+    a = spark.createDataFrame([("x", 1.0), ("y", 1.0)], "k string, v double")
+    assert scorers.sparse_kl(a, a, "k", "v") == pytest.approx(0) and scorers.sparse_kl(a, a.where("k = 'x'"), "k", "v") == math.inf
+
+
+def test_skewed_join_equals_plain_join(spark, monkeypatch):
+    from graphloom.operators import skew
+
+    monkeypatch.setattr(skew, "LEAST_HOT", 3)
+    monkeypatch.setattr(skew, "HOT_KEYS", 4)
+    left = spark.createDataFrame([(f"k{i % 7}" if i % 2 else "hot", i) for i in range(60)] + [(None, 99)], "k string, v int")
+    right = left.where("k IS NOT NULL").groupBy("k").agg(F.count("*").alias("n"))
+    assert rows(skew.skewed_join(left, right, "k", "n", 60).select("k", "v", "n")) == rows(left.join(right, "k").select("k", "v", "n"))
+
+
+def test_classifier(spark):
+    docs = spark.createDataFrame([(1, "a b c a b c a b c a b d"), (2, "x y z x y z x y z x y w"), (3, ""), (4, None)], "id int, text string")
+    got = {r["doc"]: r["label"] for r in counting.classify(docs.where("id <= 4"), docs.where("id = 1"), docs.where("id = 2"), "id", "text", mode="standard").collect()}
+    assert got == {1: "First", 2: "Second", 3: "same", 4: "same"}
