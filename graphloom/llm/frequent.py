@@ -1,10 +1,10 @@
 """The most frequent values of a column in bounded memory.
 
-A heavy part of buckets counts one value each, exactly while it stays; a bucket
-changes hands when the votes against its value outnumber those for it
-``VOTES`` times, and the count of the value put out goes to a light part, an array
-of counters shared by all values. Tasks build such pairs over their own rows;
-pairs merge bucket by bucket and counter by counter.
+A heavy part of buckets counts ``WAYS`` values each, exactly while they stay; the
+least value of a bucket is put out when the votes against the bucket outnumber its
+count ``VOTES`` times, and its count goes to a light part, an array of counters
+shared by all values. Tasks build such pairs over their own rows; pairs merge
+bucket by bucket and counter by counter.
 """
 
 from __future__ import annotations
@@ -20,7 +20,8 @@ from pyspark.sql.window import Window
 from graphloom.session import cut
 
 VOTES = 8
-BUCKETS = 4096
+WAYS = 4
+BUCKETS = 2048
 SLOTS = 32768
 #: Rows gathered before they are counted together.
 CHUNK = 1 << 18
@@ -32,8 +33,8 @@ class Sketch:
     """One task's heavy and light part for one group."""
 
     def __init__(self, buckets: int, slots: int) -> None:
-        self.key = np.zeros(buckets, np.int64)
-        self.pos = np.zeros(buckets, np.int64)
+        self.key = np.zeros((buckets, WAYS), np.int64)
+        self.pos = np.zeros((buckets, WAYS), np.int64)
         self.neg = np.zeros(buckets, np.int64)
         self.light = np.zeros(slots, np.int64)
 
@@ -46,26 +47,35 @@ class Sketch:
     def add(self, codes: np.ndarray) -> None:
         code, n = np.unique(codes, return_counts=True)
         at = (code % len(self.key)).astype(np.int64)
-        own = (self.pos[at] > 0) & (self.key[at] == code)
-        self.pos[at[own]] += n[own]
+        held = (self.key[at] == code[:, None]) & (self.pos[at] > 0)
+        own = held.any(axis=1)
+        self.pos[at[own], held[own].argmax(axis=1)] += n[own]
         code, n, at = code[~own], n[~own], at[~own]
-        if not len(code):
-            return
+        # The others challenge their bucket, the most frequent first; one of each bucket at a time.
         order = np.lexsort((-n, at))
         code, n, at = code[order], n[order], at[order]
-        first = np.r_[True, at[1:] != at[:-1]]
-        b, lead, lead_n = at[first], code[first], n[first]
-        votes = np.add.reduceat(n, np.flatnonzero(first))
-        free = self.pos[b] == 0
-        self.neg[b] += np.where(free, votes - lead_n, votes)
-        falls = ~free & (self.neg[b] >= VOTES * self.pos[b])
-        self.put_out(self.key[b[falls]], self.pos[b[falls]])
-        takes = free | falls
-        self.key[b[takes]], self.pos[b[takes]] = lead[takes], lead_n[takes]
+        begins = np.flatnonzero(np.r_[True, at[1:] != at[:-1]]) if len(at) else np.zeros(0, np.int64)
+        turn = np.arange(len(at)) - np.repeat(begins, np.diff(np.r_[begins, len(at)]))
+        for k in range(2 * WAYS):
+            now = turn == k
+            if not now.any():
+                break
+            self._challenge(at[now], code[now], n[now])
+        late = turn >= 2 * WAYS
+        np.add.at(self.neg, at[late], n[late])
+        self.put_out(code[late], n[late])
+
+    def _challenge(self, b: np.ndarray, code: np.ndarray, n: np.ndarray) -> None:
+        """One challenger for each of some buckets."""
+        way = self.pos[b].argmin(axis=1)  # a free one has 0
+        least = self.pos[b, way]
+        self.neg[b] += np.where(least == 0, 0, n)
+        takes = (least == 0) | (self.neg[b] >= VOTES * least)
+        falls = takes & (least > 0)
+        self.put_out(self.key[b[falls], way[falls]], least[falls])
         self.neg[b[falls]] = 1
-        stays = np.ones(len(code), bool)
-        stays[np.flatnonzero(first)[takes]] = False
-        self.put_out(code[stays], n[stays])
+        self.key[b[takes], way[takes]], self.pos[b[takes], way[takes]] = code[takes], n[takes]
+        self.put_out(code[~takes], n[~takes])
 
 
 SKETCH_SCHEMA = "group string, heavy boolean, at bigint, code bigint, n bigint"
@@ -92,9 +102,9 @@ def _sketches(buckets: int, slots: int):
         for g in list(waiting):
             flush(g)
         for g, s in made.items():
-            h, lit = np.flatnonzero(s.pos), np.flatnonzero(s.light)
+            h, lit = np.nonzero(s.pos), np.flatnonzero(s.light)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([g] * (len(h) + len(lit)), pa.string()), pa.array(np.r_[np.ones(len(h), bool), np.zeros(len(lit), bool)]), pa.array(np.r_[h, lit]), pa.array(np.r_[s.key[h], np.zeros(len(lit), np.int64)]), pa.array(np.r_[s.pos[h], s.light[lit]])],
+                [pa.array([g] * (len(h[0]) + len(lit)), pa.string()), pa.array(np.r_[np.ones(len(h[0]), bool), np.zeros(len(lit), bool)]), pa.array(np.r_[h[0], lit]), pa.array(np.r_[s.key[h], np.zeros(len(lit), np.int64)]), pa.array(np.r_[s.pos[h], s.light[lit]])],
                 names=["group", "heavy", "at", "code", "n"],
             )
 
@@ -116,10 +126,10 @@ def heavy_light(df: DataFrame, group: str, key: str, buckets: int = BUCKETS, slo
     heavy = parts.where("heavy").groupBy("group", "at", "code").agg(F.sum("n").alias("n"))
     ranked = heavy.withColumn("_r", F.row_number().over(Window.partitionBy("group", "at").orderBy(F.col("n").desc(), "code")))
     slot = F.expr(f"pmod(shiftrightunsigned(code, 20), {slots})")
-    lost = ranked.where("_r > 1").select("group", slot.alias("at"), "n")
+    lost = ranked.where(F.col("_r") > WAYS).select("group", slot.alias("at"), "n")
     light = parts.where("not heavy").select("group", "at", "n").unionByName(lost).groupBy("group", "at").agg(F.sum("n").alias("light"))
     light = light.select(F.col("group").alias("_g"), F.col("at").alias("_s"), "light")
-    kept = ranked.where("_r = 1").select("group", "code", F.col("n").alias("low"), slot.alias("slot"))
+    kept = ranked.where(F.col("_r") <= WAYS).select("group", "code", F.col("n").alias("low"), slot.alias("slot"))
     bounds = kept.join(light, (kept["group"] == light["_g"]) & (kept["slot"] == light["_s"]), "left").select("group", "code", "low", (F.col("low") + F.coalesce("light", F.lit(0))).alias("high"))
     rest = light.groupBy(F.col("_g").alias("group")).agg(F.lit(None).cast("bigint").alias("code"), F.lit(0).cast("bigint").alias("low"), F.max("light").alias("high"))
     return bounds.unionByName(rest)
@@ -141,7 +151,7 @@ def top_values(df: DataFrame, group: str, key: str, k: int = 10, buckets: int =
     for growth in range(GROWTHS + 1):
         size = 4**growth
         bounds = cut(heavy_light(df, group, key, buckets * size, slots * size))
-        # At most one row per bucket and group, so these few lines are bounded.
+        # At most WAYS rows per bucket and group, so these few lines are bounded.
         last = {r["group"]: (r["low"], r["r"]) for r in bounds.where("code IS NOT NULL").withColumn("r", F.row_number().over(by_low)).where(F.col("r") <= k).groupBy("group").agg(F.min("low").alias("low"), F.max("r").alias("r")).collect()}
         rest = {r["group"]: r["high"] for r in bounds.where("code IS NULL").collect()}
         if all(rest.get(g, 0) == 0 or (r == k and low > rest[g]) for g, (low, r) in last.items()):
