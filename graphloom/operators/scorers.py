@@ -30,7 +30,8 @@ ARTICLES = 3_900_000
 class Context:
     """Inputs of the scorers; each needs only some of them.
 
-    ``links``: src, dst, text; ``docs``: title, text; ``vectors``: title, vec;
+    ``links``: src, dst, text, a row per label; ``graph``: src, dst, a row per link, also those
+    without labels (else ``links`` serves); ``docs``: title, text; ``vectors``: title, vec;
     ``samples``: doc, dab, cand, p.
     """
 
@@ -38,11 +39,12 @@ class Context:
     docs: DataFrame | None = None
     vectors: DataFrame | None = None
     samples: DataFrame | None = None
+    graph: DataFrame | None = None
     options: dict = field(default_factory=dict)
 
     @cached_property
     def edges(self) -> DataFrame:
-        return cut(self.links.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL").distinct())
+        return cut((self.graph if self.graph is not None else self.links).select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL").distinct())
 
     def weights(self, tokenizer: str = "simple", **how) -> DataFrame:
         bags = counting.bag_of_words(self.docs, "title", "text", tokenizer)
@@ -134,7 +136,8 @@ def jaccard_latin(ctx: Context, cases: DataFrame, classes: DataFrame) -> DataFra
 @scorer("out_links")
 def out_links(ctx: Context, cases: DataFrame, classes: DataFrame) -> DataFrame:
     """TF-IDF with the pages linked to as terms."""
-    bags = ctx.links.select(F.col("src").alias("doc"), F.col("dst").alias("term")).where("term IS NOT NULL").groupBy("doc", "term").agg(F.count("*").alias("n"))
+    graph = ctx.graph if ctx.graph is not None else ctx.links
+    bags = graph.select(F.col("src").alias("doc"), F.col("dst").alias("term")).where("term IS NOT NULL").groupBy("doc", "term").agg(F.count("*").alias("n"))
     weights = similarity.tfidf(bags, counting.word_counts(bags), ctx.edges.select("src").distinct().count())
     m = members_of(cases, classes)
     return _best_similarity(m, similarity.cosines(_pairs(m), weights))

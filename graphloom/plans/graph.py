@@ -325,7 +325,7 @@ class Cases:
         hits = found.select("case_id", "class_id", "src").join(self.classes, "class_id").join(edges, hit).groupBy("case_id").agg(F.array_sort(F.collect_set("member")).alias("_new"))
         none = F.array().cast("array<string>")
         self.cases = cut(found.join(hits, "case_id", "left").select("case_id", "class_id", "dab", "src", "text", none.alias("old_links"), F.coalesce("_new", none).alias("new_links")))
-        self.context = scorers.Context(links=self.labels, docs=docs(spark, d), options=options)
+        self.context = scorers.Context(links=self.labels, graph=self.links, docs=docs(spark, d), options=options)
 
     def score(self, name: str | scorers.Scorer) -> DataFrame:
         f = scorers.SCORERS[name] if isinstance(name, str) else name
@@ -336,7 +336,7 @@ def scored(spark: SparkSession, d: str, name: str | scorers.Scorer, **options) -
     return Cases(spark, d, **options).score(name).select("case_id", "class_idx", F.round("score", 6).alias("score"))
 
 
-BASELINE_SQL = """per AS (SELECT class_id, class_idx, count(DISTINCT lsrc) AS n FROM classes LEFT JOIN (SELECT DISTINCT src AS lsrc, dst AS ldst FROM labelled) l ON member = ldst GROUP BY class_id, class_idx),
+BASELINE_SQL = """per AS (SELECT class_id, class_idx, count(DISTINCT lsrc) AS n FROM classes LEFT JOIN (SELECT src AS lsrc, dst AS ldst FROM edges) l ON member = ldst GROUP BY class_id, class_idx),
 baseline AS (SELECT case_id, class_idx, n / greatest(sum(n) OVER (PARTITION BY case_id), 1) AS score FROM cases JOIN per USING (class_id))"""
 LINK_TEXT_SQL = """hits AS (SELECT dst, text, count(*) AS n FROM labelled GROUP BY dst, text),
 lt AS (SELECT case_id, class_idx, coalesce(n, 0) AS n FROM cases c JOIN classes k USING (class_id) LEFT JOIN hits h ON h.dst = k.member AND h.text = c.text),
@@ -381,8 +381,8 @@ def jaccard_scores(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("relatedness", f"""
-WITH {CASES_SQL}, p AS (SELECT DISTINCT src AS a, member AS b FROM cases JOIN classes USING (class_id)), e2 AS (SELECT DISTINCT src, dst FROM labelled),
-n AS (SELECT dst, count(*) AS n FROM e2 GROUP BY dst), o AS (SELECT a, b, count(*) AS o FROM p JOIN e2 x ON x.dst = a JOIN e2 y ON y.dst = b AND y.src = x.src GROUP BY a, b)
+WITH {CASES_SQL}, p AS (SELECT DISTINCT src AS a, member AS b FROM cases JOIN classes USING (class_id)),
+n AS (SELECT dst, count(*) AS n FROM edges GROUP BY dst), o AS (SELECT a, b, count(*) AS o FROM p JOIN edges x ON x.dst = a JOIN edges y ON y.dst = b AND y.src = x.src GROUP BY a, b)
 SELECT a, b, round(CASE WHEN coalesce(o, 0) = 0 THEN 0 ELSE exp(-(ln(greatest(na.n, nb.n)) - ln(o)) / (ln(3900000) - ln(least(na.n, nb.n)))) END, 6) AS rel
 FROM p LEFT JOIN n na ON na.dst = a LEFT JOIN n nb ON nb.dst = b LEFT JOIN o USING (a, b)
 """)
@@ -393,12 +393,24 @@ def relatedness(spark: SparkSession, d: str) -> DataFrame:
     return o.select("a", "b", F.round(vectors.relatedness(F.col("size_a"), F.col("size_b"), F.col("overlap"), scorers.ARTICLES), 6).alias("rel"))
 
 
-@query("relatedness_scores")
+@query("relatedness_scores", f"""
+WITH {CASES_SQL}, near AS (SELECT case_id, dst AS near FROM cases c JOIN edges e ON e.src = c.src WHERE dst <> dab UNION SELECT case_id, src FROM cases),
+m AS (SELECT c.case_id, c.src, c.dab, k.class_idx, k.member, w.near FROM cases c JOIN classes k USING (class_id) JOIN near w USING (case_id)), p AS (SELECT DISTINCT near AS a, member AS b FROM m WHERE near <> member),
+n AS (SELECT dst, count(*) AS n FROM edges GROUP BY dst), o AS (SELECT a, b, count(*) AS o FROM p JOIN edges x ON x.dst = a JOIN edges y ON y.dst = b AND y.src = x.src GROUP BY a, b),
+r AS (SELECT a, b, exp(-(ln(greatest(na.n, nb.n)) - ln(o)) / (ln(3900000) - ln(least(na.n, nb.n)))) AS r FROM o JOIN n na ON na.dst = a JOIN n nb ON nb.dst = b)
+SELECT case_id, class_idx, round(CASE WHEN bool_or(member = dab) THEN -999 ELSE max(CASE WHEN member = src THEN 0 ELSE coalesce(r, 0) END) END, 6) AS score FROM m LEFT JOIN r ON near = a AND member = b GROUP BY case_id, class_idx
+""")
 def relatedness_scores(spark: SparkSession, d: str) -> DataFrame:
     return scored(spark, d, "relatedness")
 
 
-@query("out_link_scores")
+@query("out_link_scores", f"""
+WITH {CASES_SQL}, b AS (SELECT src AS doc, dst AS term, count(*) AS n FROM links GROUP BY src, dst), f AS (SELECT term, count(*) AS df FROM b GROUP BY term), size AS (SELECT count(DISTINCT src) AS n_docs FROM links),
+raw AS (SELECT doc, term, (1 + ln(n)) * ln(n_docs // df) AS w FROM b JOIN f USING (term), size), norms AS (SELECT doc, sqrt(sum(w * w)) AS norm FROM raw GROUP BY doc),
+weights AS (SELECT doc, term, CASE WHEN norm > 0 THEN w / norm ELSE w END AS w FROM raw JOIN norms USING (doc)),
+sims AS (SELECT p.src, p.member, sum(x.w * y.w) AS sim FROM (SELECT DISTINCT src, member FROM cases JOIN classes USING (class_id)) p JOIN weights x ON x.doc = p.src JOIN weights y ON y.doc = p.member AND y.term = x.term GROUP BY p.src, p.member)
+SELECT case_id, class_idx, round(coalesce(sim, 0), 6) AS score FROM cases c JOIN classes k USING (class_id) LEFT JOIN sims s ON s.src = c.src AND s.member = k.member
+""")
 def out_link_scores(spark: SparkSession, d: str) -> DataFrame:
     return scored(spark, d, "out_links")
 

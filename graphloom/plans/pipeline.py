@@ -162,7 +162,7 @@ def evaluate(c: Catalog, scorer: str, top: int = 1, skip: int = 0, **options) ->
     cases, classes = evaluation.skip_cases(c.read("cases"), skip), c.read("classes")
     links = L.exploded_labels(c.read("fixed_links"), "src", "dst")
     optional = {n: c.read(r) for n, r in (("vectors", "topic_vectors"), ("samples", "sample_average")) if _exists(c, r)}
-    ctx = scorers.Context(links=links, docs=c.read("plain_text"), options=options, **optional)
+    ctx = scorers.Context(links=links, graph=c.read("fixed_links"), docs=c.read("plain_text"), options=options, **optional)
     hits = evaluation.top_k_hits(evaluation.rank_classes(scorers.SCORERS[scorer](ctx, cases, classes)), classes, cases, top)
     hits = c.write(f"roc_{scorer}", hits, "case_id")
     c.write(f"precision_{scorer}", evaluation.cumulative_precision(hits), "n")

@@ -11,7 +11,7 @@ from graphloom.functions.wikitext import admitted_links, dab_template, evaluate,
 from graphloom.operators import counting
 from graphloom.registry import Registry
 from graphloom.session import cut
-from graphloom.sources.dump import effective_namespaces
+from graphloom.sources.dump import DEFAULT_NAMESPACES, NAMESPACE_ALIASES, effective_namespaces
 from graphloom.sources.tables import table
 from graphloom.streaming.links import read_stream, run_available, windowed_targets
 
@@ -60,7 +60,14 @@ def admitted(spark: SparkSession, d: str) -> DataFrame:
     return admitted_links(titled).select("key", "pos", "language", "namespace_id", "short_title", "display")
 
 
-@query("effective_namespaces")
+_DEFAULTS = ", ".join(f"({i}, '{n}', true)" for i, n in DEFAULT_NAMESPACES.items()) + ", " + ", ".join(f"({i}, '{n}', false)" for n, i in NAMESPACE_ALIASES.items())
+
+
+@query("effective_namespaces", f"""
+WITH own AS (SELECT DISTINCT lang, ns_id, name FROM namespaces), d AS (SELECT * FROM (VALUES {_DEFAULTS}) AS t(ns_id, name, def)),
+more AS (SELECT l.lang, d.ns_id, d.name, def AND NOT EXISTS (SELECT 1 FROM own o WHERE o.lang = l.lang AND o.ns_id = d.ns_id) AS main FROM (SELECT DISTINCT lang FROM own) l, d)
+SELECT lang, ns_id, name, bool_or(main) AS main FROM (SELECT *, true AS main FROM own UNION ALL SELECT * FROM more) GROUP BY lang, ns_id, name
+""")
 def namespaces(spark: SparkSession, d: str) -> DataFrame:
     return effective_namespaces(table(spark, d, "namespaces"))
 
@@ -81,7 +88,9 @@ def template_expand(spark: SparkSession, d: str) -> DataFrame:
     return expand_templates(r, "key", "text", library).select("id", "text")
 
 
-@query("expr_eval")
+@query("expr_eval", """
+SELECT * FROM (VALUES ('1 + 2 * 3', 7.0::DOUBLE), ('(1 + 2) * 3', 9), ('7 div 2', 3.5), ('7 mod 4', 3), ('not 0 and 1', 1), ('2.345 round 2', 2.35), ('3 <> 4', 1), ('-2 + 5 >= 3 or 0', 1)) AS t(expression, value)
+""")
 def expr_eval(spark: SparkSession, d: str) -> DataFrame:
     cases = ["1 + 2 * 3", "(1 + 2) * 3", "7 div 2", "7 mod 4", "not 0 and 1", "2.345 round 2", "3 <> 4", "-2 + 5 >= 3 or 0"]
     return spark.createDataFrame([(c, evaluate(c)) for c in cases], "expression string, value double")

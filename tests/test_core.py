@@ -296,7 +296,7 @@ def test_scorers(spark):
     none = "cast(array() as array<string>)"
     cases = spark.createDataFrame([(1, "D", "D", "s", "x", ["A"])], "case_id bigint, class_id string, dab string, src string, text string, new_links array<string>").withColumn("old_links", F.expr(none))
     classes = spark.createDataFrame([("D", 0, "A"), ("D", 1, "B")], "class_id string, class_idx int, member string")
-    ctx = scorers.Context(links, docs, vecs, samples, {"length": 2, "tol": 1e-4})
+    ctx = scorers.Context(links, docs, vecs, samples, options={"length": 2, "tol": 1e-4})
     for name, f in scorers.SCORERS.items():
         got = {r["class_idx"]: r["score"] for r in f(ctx, cases, classes).collect()}
         assert set(got) == {0, 1}, name
