@@ -42,8 +42,9 @@ def word() -> Column:
 
 
 def assigned(state: DataFrame) -> DataFrame:
-    """The rows with a word ``w``: ambiguous links without a candidate are left out."""
-    return state.withColumn("w", word()).where("w IS NOT NULL")
+    """The rows that count, with their word ``w``: those without a document or a topic are left
+    out, and ambiguous links without a candidate."""
+    return state.withColumn("w", word()).where("w IS NOT NULL AND doc IS NOT NULL AND topic IS NOT NULL")
 
 
 def article_topics(state: DataFrame) -> DataFrame:
@@ -246,7 +247,7 @@ def sweep(state: DataFrame, candidates: DataFrame, params: Params, iteration: in
     alpha, beta, gamma = np.array(params.alpha), params.beta, params.gamma
     rows = _with_counts(state, state, candidates, by)
     long = state.groupBy(F.col("doc").alias("_l")).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("_blocks"))
-    rows = rows.join(long, rows["doc"] == long["_l"]).withColumn("_block", F.pmod(F.xxhash64("pos"), F.col("_blocks"))).drop("_l", "_blocks")
+    rows = rows.join(long, rows["doc"] == long["_l"], "left").withColumn("_block", F.pmod(F.xxhash64("pos"), F.coalesce("_blocks", F.lit(1)))).drop("_l", "_blocks")
     rows = rows.repartition("doc", "_block").sortWithinPartitions("doc", "_block", "pos")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -254,10 +255,10 @@ def sweep(state: DataFrame, candidates: DataFrame, params: Params, iteration: in
         for b in batches:
             topics, sampled = [], []
             for r in b.itertuples(index=False):
-                if (r.doc, r[-1]) != current:
+                if current is None or (r.doc, r[-1]) != current:
                     current, dt = (r.doc, r[-1]), _vector(r.dt, k)
-                z, a = r.topic, r.sampled
-                if r.w is not None and r.w == r.w:
+                z, a = None if pd.isna(r.topic) else int(r.topic), r.sampled
+                if z is not None and not pd.isna(r.w) and not pd.isna(r.doc):
                     rng = _draw(seed, iteration, r.doc, r.pos)
                     dt[z] -= 1
                     z = _topic_step(alpha, beta, v, nt, np.maximum(dt, 0), _vector(r.at, k), z, rng, True)
@@ -267,7 +268,7 @@ def sweep(state: DataFrame, candidates: DataFrame, params: Params, iteration: in
                 topics.append(z)
                 sampled.append(a)
             out = b[["doc", "pos", "is_amb", "target", "text"]].copy()
-            out["topic"], out["sampled"] = topics, sampled
+            out["topic"], out["sampled"] = pd.array(topics, dtype="Int32"), sampled
             yield out
 
     return rows.mapInPandas(run, STATE)

@@ -279,6 +279,9 @@ def test_sampler_keeps_rows_and_is_reproducible(spark):
     for t in (topics.posterior(a[0], cands, p), topics.average_samples(a[1]).withColumn("pos", F.col("dab"))):
         sums = t.groupBy("doc", "pos").agg(F.sum("p").alias("s")).collect()
         assert sums and all(abs(r["s"] - 1) < 1e-9 for r in sums)
+    odd = spark.createDataFrame([("d1", 9, False, None, "a", 1, None), (None, 1, False, "A", "a", 0, None), ("d1", 8, True, "D", None, None, "A"), ("d3", 1, False, "A", None, 2, None)], topics.STATE)
+    after = topics.sweep(a[0].unionByName(odd), cands, p, 1)
+    assert after.count() == 10 and rows(after.where("topic IS NULL OR doc IS NULL OR target IS NULL")) == rows(odd.where("topic IS NULL OR doc IS NULL OR target IS NULL"))
     q = topics.refit(a[0], p)
     assert len(q.alpha) == 3 and q.beta > 0 and q.gamma > 0
     got = topics.infer(df.where("doc = 'd1'"), a[0], cands, p, sweeps=20).collect()
