@@ -13,9 +13,12 @@ def total(v: Column) -> Column:
 
 
 def to_distribution(v: Column) -> Column:
-    """The vector divided by its sum; a vector that sums to 0 stays as it is."""
-    s = total(v)
-    return F.when(s == 0, v).otherwise(F.transform(v, lambda x: x / s))
+    """The vector divided by its sum; a vector that sums to 0 stays as it is.
+
+    The sum is bound to a variable, so that it isn't computed again for every element.
+    """
+    bound = F.array(F.struct(v.alias("v"), total(v).alias("s")))
+    return F.element_at(F.transform(bound, lambda t: F.when(t["s"] == 0, t["v"]).otherwise(F.transform(t["v"], lambda x: x / t["s"]))), 1)
 
 
 def _sum2(a: Column, b: Column, f) -> Column:
