@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.ml.clustering import LDA
+from pyspark.ml.clustering import LocalLDAModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.sql import DataFrame
@@ -12,8 +12,25 @@ from graphloom.operators.dictionary import encode, sorted_dictionary
 from graphloom.session import cut
 
 
+def fit(data: DataFrame, size: int, topics: int, iterations: int, seed: int) -> LocalLDAModel:
+    """The online variational model of ``features``, vectors of ``size`` words; every iteration is a pass over all rows.
+
+    ``pyspark.ml``'s estimator always draws its batches with replacement, so that even at a
+    subsampling rate of 1 an iteration misses a good third of the rows. The optimizer
+    below it can take each row once.
+    """
+    spark = data.sparkSession
+    jvm = spark.sparkContext._jvm
+    old, new = jvm.org.apache.spark.mllib.clustering, jvm.org.apache.spark.ml.clustering
+    whole = old.OnlineLDAOptimizer().setMiniBatchFraction(1.0).setSampleWithReplacement(False).setOptimizeDocConcentration(True)
+    rows = getattr(getattr(new, "LDA$"), "MODULE$").getOldDataset(data._jdf, "features")
+    model = old.LDA().setK(topics).setMaxIterations(iterations).setSeed(seed).setOptimizer(whole).run(rows)
+    return LocalLDAModel(new.LocalLDAModel("lda", size, model, spark._jsparkSession))
+
+
 def topic_vectors(bags: DataFrame, topics: int = 100, iterations: int = 20, seed: int = 0) -> DataFrame:
-    """``title``, ``vec``: the topic distribution of each document of ``doc``, ``term``, ``n``."""
+    """``title``, ``vec``: the topic distribution of each document of ``doc``, ``term``, ``n``; each
+    iteration fits on all documents."""
     words = cut(sorted_dictionary(bags, "term"))
     size = max(words.count(), 1)
 
@@ -21,9 +38,9 @@ def topic_vectors(bags: DataFrame, topics: int = 100, iterations: int = 20, seed
     def sparse(pairs):
         return SparseVector(size, [(p["id"] - 1, float(p["n"])) for p in pairs])
 
-    docs = cut(encode(bags, "term", words, "id").groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("id", "n"))).alias("_w")))
-    if docs.isEmpty():
-        return docs.select(F.col("doc").alias("title"), F.array().cast("array<double>").alias("vec"))
-    data = docs.select("doc", sparse("_w").alias("features"))
-    model = LDA(k=topics, maxIter=iterations, seed=seed, optimizer="online").fit(data)
+    docs = encode(bags, "term", words, "id").groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("id", "n"))).alias("_w"))
+    data = cut(docs.select("doc", sparse("_w").alias("features")))  # read again by each iteration
+    if data.isEmpty():
+        return data.select(F.col("doc").alias("title"), F.array().cast("array<double>").alias("vec"))
+    model = fit(data, size, topics, iterations, seed)
     return model.transform(data).select(F.col("doc").alias("title"), vector_to_array("topicDistribution").alias("vec"))

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphloom.functions import keys, text, vectors, wikitext
-from graphloom.operators import counting, dirichlet, evaluation, links as L, orphans, ranking, scorers, selection, similarity, topics, walk
+from graphloom.operators import counting, dirichlet, evaluation, lda, links as L, orphans, ranking, scorers, selection, similarity, topics, walk
 
 
 def rows(df):
@@ -200,6 +200,20 @@ def test_walks(spark):
     assert {r["node"] for r in walk.level_walks(e, cases, 0.5, 1e-4).collect()} == {"a", "c"}
 
 
+def test_every_document_enters_the_topic_model(spark):
+    from pyspark.ml.linalg import SparseVector, VectorUDT
+    from pyspark.sql.types import StructField, StructType
+
+    rows = [(SparseVector(200, [(i, 1000.0)]),) for i in range(200)]
+    data = spark.createDataFrame(rows, StructType([StructField("features", VectorUDT())]))
+    words = lda.fit(data, 200, 2, 1, 0).topicsMatrix().toArray().sum(axis=1)
+    assert words.min() > 20  # the word of a document left out stays near 2, where it began
+    bags = spark.createDataFrame([(f"d{i}", f"w{i % 3}", 2) for i in range(9)], "doc string, term string, n int")
+    got = lda.topic_vectors(bags, 2, 2).collect()
+    assert {r["title"] for r in got} == {f"d{i}" for i in range(9)} and all(sum(r["vec"]) == pytest.approx(1) for r in got)
+    assert lda.topic_vectors(bags.where("false"), 2, 2).collect() == []
+
+
 def test_vectors(spark):
     a, b = F.col("a"), F.col("b")
     at = lambda c, x, y: one(spark, c, a=x, b=y)
