@@ -200,6 +200,20 @@ def test_walks(spark):
     assert {r["node"] for r in walk.level_walks(e, cases, 0.5, 1e-4).collect()} == {"a", "c"}
 
 
+@pytest.mark.parametrize("tol", [0.05, 1e-3, 1e-6])
+def test_walks_are_the_same_at_any_size(spark, monkeypatch, tol):
+    pairs = sorted({(f"n{i % 37}", f"n{(i * i + 3 * i) % 41}") for i in range(400)})
+    late = [("s", x) for x in "abcd"] + [("a", "m"), ("b", "x"), ("x", "m"), ("m", "end")]  # m gets its weight in two steps
+    e = edges(spark, pairs + late)
+    starts = spark.createDataFrame([("n1", None), ("n2", "n3"), ("s", None), ("s", "x"), ("nowhere", None)], "start string, without string")
+    for alpha, reenter in ((0.5, False), (0.1, True)):
+        small = {(r["start"], r["without"], r["node"]): r["score"] for r in walk.exact_walks(e, starts, alpha, tol, reenter).collect()}
+        with monkeypatch.context() as m:
+            m.setattr(walk, "MOST_EDGES", 0)
+            large = walk.exact_walks(e, starts, alpha, tol, reenter).collect()
+        assert len(large) == len(small) and {(r["start"], r["without"], r["node"]): r["score"] for r in large} == small
+
+
 def test_every_document_enters_the_topic_model(spark):
     from pyspark.ml.linalg import SparseVector, VectorUDT
     from pyspark.sql.types import StructField, StructType
