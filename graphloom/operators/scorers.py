@@ -216,15 +216,19 @@ def walk(ctx: Context, cases: DataFrame, classes: DataFrame) -> DataFrame:
 @scorer("walk_radius")
 def walk_radius(ctx: Context, cases: DataFrame, classes: DataFrame) -> DataFrame:
     """The negated mean divergence of the walks from the source and from a candidate from their
-    average, both without the ambiguous page; the greatest of a class."""
+    average, both without the ambiguous page; the greatest of a class. The source's walk
+    has the option ``tol``, the candidates' ``candidate_tol``."""
     m = members_of(cases, classes)
-    starts = m.select(F.col("src").alias("start"), F.col("dab").alias("without")).unionByName(m.select(F.col("member").alias("start"), F.col("dab").alias("without"))).where("start <> without").distinct()
-    w = exact_walks(ctx.edges, starts, ctx.options.get("alpha", 0.5), ctx.options.get("tol", 1e-4), reenter=False)
-    whole = w.groupBy("start", "without").agg(F.sum("score").alias("_all"))
-    w = cut(w.join(whole, ["start", "without"]).select("start", "without", "node", (F.col("score") / F.col("_all")).alias("p")))
+
+    def spread(page: str, tol: float) -> DataFrame:
+        starts = m.select(F.col(page).alias("start"), F.col("dab").alias("without")).where("start <> without").distinct()
+        w = cut(exact_walks(ctx.edges, starts, ctx.options.get("alpha", 0.5), tol, reenter=False))
+        return w.join(w.groupBy("start", "without").agg(F.sum("score").alias("_all")), ["start", "without"]).select("start", "without", "node", (F.col("score") / F.col("_all")).alias("p"))
+
+    near, far = spread("src", ctx.options.get("tol", 1e-7)), spread("member", ctx.options.get("candidate_tol", 1e-4))
     pairs = m.select("src", "member", F.col("dab").alias("without")).distinct()
-    a = pairs.join(w.select(F.col("start").alias("src"), "without", "node", F.col("p").alias("a")), ["src", "without"])
-    b = pairs.join(w.select(F.col("start").alias("member"), "without", "node", F.col("p").alias("b")), ["member", "without"])
+    a = pairs.join(near.select(F.col("start").alias("src"), "without", "node", F.col("p").alias("a")), ["src", "without"])
+    b = pairs.join(far.select(F.col("start").alias("member"), "without", "node", F.col("p").alias("b")), ["member", "without"])
     both = a.join(b, ["src", "member", "without", "node"], "full")
     x, y = F.coalesce("a", F.lit(0.0)), F.coalesce("b", F.lit(0.0))
     part = F.when(x > 0, x * F.log(2 * x / (x + y))).otherwise(0.0) + F.when(y > 0, y * F.log(2 * y / (x + y))).otherwise(0.0)

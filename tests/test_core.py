@@ -3,6 +3,7 @@
 import collections
 import math
 import random
+from unittest import mock
 
 import numpy as np
 import pytest
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import keys, text, vectors, wikitext
 from graphloom.operators import counting, dirichlet, evaluation, lda, links as L, orphans, ranking, scorers, selection, similarity, topics, walk
+from graphloom.plans import graph
 
 
 def rows(df):
@@ -214,6 +216,20 @@ def test_walks_are_the_same_at_any_size(spark, monkeypatch, tol):
         assert len(large) == len(small) and {(r["start"], r["without"], r["node"]): r["score"] for r in large} == small
 
 
+def test_walks_reach_candidates_behind_hubs(spark, monkeypatch):
+    e = edges(spark, [("s", f"p{i}") for i in range(100)] + [("p0", f"q{i}") for i in range(100)] + [("q0", "near")])
+    ctx = scorers.Context(links=e, graph=e)
+    cases = spark.createDataFrame([(1, 1, "dab", "x", "s")], "case_id int, class_id int, dab string, text string, src string")
+    classes = spark.createDataFrame([(1, 0, "near"), (1, 1, "far")], "class_id int, class_idx int, member string")
+    got = {n: {r["class_idx"]: r["score"] for r in scorers.SCORERS[n](ctx, cases, classes).collect()} for n in ("walk", "walk_radius")}
+    assert got["walk"] == {0: pytest.approx(0.5 * 0.5**3 / 100**2), 1: 0}
+    assert got["walk_radius"][0] > got["walk_radius"][1] == pytest.approx(-math.log(2))
+    asked = []
+    monkeypatch.setattr(graph, "Cases", lambda spark, d, **options: asked.append(options) or mock.MagicMock())
+    graph.registry.queries["walk_scores"](spark, "")
+    assert asked == [{}]
+
+
 def test_every_document_enters_the_topic_model(spark):
     from pyspark.ml.linalg import SparseVector, VectorUDT
     from pyspark.sql.types import StructField, StructType
