@@ -124,3 +124,15 @@ def test_own_content_counts_texts_exactly(spark):
     for parts in (1, 4):
         df = spark.createDataFrame(spark.sparkContext.parallelize(texts, parts), "id bigint, host string, text string")
         assert dict(rows(wrappers.own_content(df, "id", "host", "text"))) == want
+
+
+@pytest.mark.parametrize("most", [wrappers.MOST_BYTES, 0])
+def test_own_content_of_long_pages(spark, monkeypatch, most):
+    """The first page fills a template by itself; what all later ones share comes after it."""
+    monkeypatch.setattr(wrappers, "MOST_BYTES", most)
+    monkeypatch.setattr(wrappers, "NODES", 20)
+    pages = ["".join(f"<p>first {k}</p>" for k in range(30))] + [f"<table><tr><td>own {i}<td>shared</table>" + "".join(f"<h{k}>x{i}</h{k}><i{i}></i{i}>" for k in range(1, 4)) for i in range(1, 30)]
+    df = spark.createDataFrame(spark.sparkContext.parallelize([(i, "h", x) for i, x in enumerate(pages)], 2), "id bigint, host string, text string")
+    got = dict(rows(wrappers.own_content(df, "id", "host", "text")))
+    assert got[0] == "\n".join(f"first {k}" for k in range(30))
+    assert all(got[i] == "\n".join([f"own {i}", *[f"x{i}"] * 3]) for i in range(1, 30))
