@@ -28,9 +28,9 @@ MARKS = regex.compile(
 OWN_ELLIPSIS = regex.compile(r"(?:\band so (?:on|forth)|\betc|\bund so weiter|\busw|\bи так далее|\bи т\. ?д|\by así sucesivamente|\bet ainsi de suite|など)\s*(?:…|\.\.\.+)\s*$", regex.I)
 
 _sentence = regex.compile(r"[.!?。！？｡…؟।](?:[\"'”’»«›‹」』）)\]*_]|</?\w+[^<>]*>|\s)*$")
-_list = regex.compile(r"^\s*(?:[*#;]+|[-+•·]\s|\d+[.)]\s|<li>)")
+_list = regex.compile(r"^\s*(?:[*#;]+(?:\s|(?!.*\*))|[-+•·]\s|\d+[.)]\s|<li>)")
 _heading = regex.compile(r"^\s*(?:(={1,6})\s*\S.*?\1|#{1,6}\s+\S.*|<h[1-6][^>]*>.*</h[1-6]>)\s*$", regex.I)
-_signature = regex.compile(r"(?:--|—\s?|–\s?|~{2,})\s*\S[^\s.]*(?:\s\S+)?(?:,?\s+\d{1,2}:\d{2},.*\(\w+\))?\s*$")
+_signature = regex.compile(r"(?:^|[.!?。！？…][\"'”’»)\]]*\s*)(?:--|—|–|~{2,})\s*\p{Lu}[^\s.]*(?:,?\s+\d{1,2}:\d{2},.*\(\w+\))?\s*$")
 _stamp_begun = regex.compile(r"--\s*\S+\s+\d{1,2}:?\d{0,2}(?:,[^()]*(?:\(\w{0,3})?)?$")
 _stamp = regex.compile(r"\(UTC\)\s*$")
 _broken = regex.compile(r"(?:�|&#?\w{0,8}|<[/!a-zA-Z][^<>]*|<|\[\[[^\[\]]*|\{\{[^{}]*|\[https?:[^\]]*|\[\[[^\[\]]*\]|\{\{[^{}]*\}|\p{Cs})$")

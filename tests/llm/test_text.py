@@ -198,3 +198,11 @@ def test_wrapper_induction():
         assert own == ["Title 5", "Body text 5", "item 5 0"]
     assert wrappers.own_texts(None, trees[1], 1)[0] == "Home"
     assert wrappers.match(wrappers.parse("<p>a<b>c</b>"), wrappers.parse("<p>a<i>x</i><b>d</b>")) == 1 + 1 + 2 + 1 + 1
+
+
+def test_running_text_is_not_a_whole_ending():
+    s = truncation.stop
+    for cut in ["It was open from 1914–19", "The town grew — and th", "The town grew -- and th", "x.\n**Foo** is a town in the nor", "x.\n*Foo* is a town in the nor"]:
+        assert s(cut, "Title") in truncation.CUT, cut
+    for whole in ["Seen. — Me", "x.\n-- Me", "x.\n*A b", "x.\n** A *b* c"]:
+        assert s(whole) not in truncation.CUT, whole
