@@ -26,21 +26,21 @@ def find_orphans(references: DataFrame, parents: DataFrame) -> DataFrame:
     and is 'missing' or 'deleted'. Empty tables give an empty result; without
     parents every reference is 'missing'.
 
-    References and parents form one stream, partitioned and sorted by range of key
-    and time and merged in one pass: the running maximum of ``valid_to`` over the
+    References and parents form one stream, partitioned by key, sorted by time
+    and merged in one pass: the running maximum of ``valid_to`` over the
     parents that began so far tells whether one of them is valid, and a first record
     per key carries the latest beginning. A key with very many references or
-    parents goes on over several ranges (see ``running_within``).
+    parents is split by time, and where times are equal by ``rec_id`` (see ``running_within``).
     """
     none = F.lit(None).cast("timestamp_ntz")
-    refs = references.where(F.col("key").isNotNull()).select("tab", "key", F.col("at").cast("timestamp_ntz").alias("_at"), F.lit(2).alias("_kind"), F.lit(None).cast("boolean").alias("_known"), none.alias("_last"), none.alias("_to"), "rec_id")
+    refs = references.where(F.col("key").isNotNull()).select("tab", "key", F.col("at").cast("timestamp_ntz").alias("_at"), F.lit(2).alias("_kind"), none.alias("_last"), none.alias("_to"), "rec_id")
     spans = parents.where(F.col("key").isNotNull()).select("tab", "key", F.col("valid_from").cast("timestamp_ntz").alias("_from"), F.coalesce(F.col("valid_to").cast("timestamp_ntz"), F.lit(FOREVER).cast("timestamp_ntz")).alias("_to"))
     nobody = F.lit(None).cast("bigint").alias("rec_id")
-    first = spans.groupBy("tab", "key").agg(F.max("_from").alias("_last")).select("tab", "key", none.alias("_at"), F.lit(0).alias("_kind"), F.lit(True).alias("_known"), "_last", none.alias("_to"), nobody)
+    first = spans.groupBy("tab", "key").agg(F.max("_from").alias("_last")).select("tab", "key", none.alias("_at"), F.lit(0).alias("_kind"), "_last", none.alias("_to"), nobody)
     # Of parents that begin together the one that lasts longest counts.
-    begun = spans.where(F.col("_from").isNotNull()).groupBy("tab", "key", "_from").agg(F.max("_to").alias("_to")).select("tab", "key", F.col("_from").alias("_at"), F.lit(1).alias("_kind"), F.lit(True).alias("_known"), none.alias("_last"), "_to", nobody)
+    begun = spans.where(F.col("_from").isNotNull()).groupBy("tab", "key", "_from").agg(F.max("_to").alias("_to")).select("tab", "key", F.col("_from").alias("_at"), F.lit(1).alias("_kind"), none.alias("_last"), "_to", nobody)
     stream = refs.unionByName(first).unionByName(begun)
-    merged = running_within(stream, ["tab", "key"], ["_at", "_kind"], _seen=("max", F.col("_known")), _latest=("max", F.col("_last")), _until=("max", F.col("_to")))
+    merged = running_within(stream, ["tab", "key"], ["_at", "_kind", "rec_id"], _seen=("max", F.when(F.col("_kind") < 2, True)), _latest=("max", F.col("_last")), _until=("max", F.col("_to")))
     served = F.coalesce(F.col("_until") > F.col("_at"), F.lit(False))
     state = F.when(F.col("_seen").isNull(), "missing").when(F.col("_latest") > F.col("_at"), "late").otherwise("deleted")
     orphans = merged.where((F.col("_kind") == 2) & ~served)

@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from graphloom.session import cut
+from graphloom.operators.ranking import rank_within
+from graphloom.session import cut, discard
 
 #: At most so many buckets under refinement at a time; they are what is broadcast.
 MAX_CELLS = 100_000
@@ -60,26 +61,35 @@ def key_ranks(df: DataFrame, keys: list[str], code: str, ranks: Column, buckets:
     wanted: ranks in a bucket with fewer rows are given up, and others are followed
     until their bucket holds one value.
 
-    Groups of at most ``small`` rows are sorted within one task. There are at most
-    rows / small larger ones, and ``small`` is raised for inputs of more than
-    ``MAX_CELLS`` * ``small`` rows, so the broadcast state never exceeds
-    ``MAX_CELLS`` buckets however the data grow.
+    Groups of at most ``small`` rows are sorted within one task. Hot groups, those with more
+    than ``MAX_CELLS`` / ranks per group of all rows as well, are refined by histograms; their
+    buckets, of which there are at most ``MAX_CELLS``, are broadcast. Groups between
+    the two, which there are in very large inputs only, are too many for that: they are ranked
+    by a distributed sort (``rank_within``). No group is gathered at any size.
     """
     d = df.where(F.col(code).isNotNull()).select(*[F.col(k) for k in keys], F.col(code).alias("_code"))
     stats = cut(d.groupBy(*keys).agg(F.count("*").alias("n"), F.min("_code").alias("_lo"), F.max("_code").alias("_hi")))
-    total = stats.agg(F.sum("n")).first()[0] or 0
-    small = max(small, -(-total // MAX_CELLS))
     wanted = F.array_distinct(F.filter(ranks, lambda r: (r >= 1) & (r <= F.col("n"))))
-    same = lambda a, b, names: _all(a[x].eqNullSafe(b[x]) for x in names)
-
-    # Light keys, and keys with one value: one bounded group each.
-    big = stats.where((F.col("n") > small) & (F.col("_lo") < F.col("_hi")))
-    constant = stats.where((F.col("n") > small) & (F.col("_lo") == F.col("_hi"))).select(*keys, "n", F.explode(wanted).alias("rank"), F.col("_lo").alias("code"))
-    heavy = F.broadcast(stats.where(F.col("n") > small).select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]))
-    on = _all(d[k].eqNullSafe(heavy[f"_k{i}"]) for i, k in enumerate(keys))
-    light = d.join(heavy, on, "left_anti").groupBy(*keys).agg(F.sort_array(F.collect_list("_code")).alias("_all"))
+    total, most = stats.agg(F.sum("n"), F.max(F.size(wanted))).first()
+    hot = max(small, -(-(total or 0) * (most or 1) // MAX_CELLS))
+    renamed = lambda t, *more: t.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], *more)
+    on_keys = lambda a, b: _all(a[k].eqNullSafe(b[f"_k{i}"]) for i, k in enumerate(keys))
+
+    big = stats.where((F.col("n") > hot) & (F.col("_lo") < F.col("_hi")))
+    constant = stats.where((F.col("n") > hot) & (F.col("_lo") == F.col("_hi"))).select(*keys, "n", F.explode(wanted).alias("rank"), F.col("_lo").alias("code"))
+    heavy = F.broadcast(renamed(stats.where(F.col("n") > hot)))
+    rest = d.join(heavy, on_keys(d, heavy), "left_anti")
+    parts = [constant]
+    if hot > small:
+        sizes = renamed(stats.where(F.col("n") <= hot), "n")
+        rest = rest.join(sizes, on_keys(rest, sizes)).select(*keys, "_code", "n")
+        ranked = rank_within(rest.where(F.col("n") > small), keys, ["_code"], "_rank")
+        asked = renamed(stats.where((F.col("n") > small) & (F.col("n") <= hot)), F.explode(wanted).alias("rank"))
+        parts.append(ranked.join(asked, on_keys(ranked, asked) & (F.col("_rank") == F.col("rank"))).select(*keys, "n", "rank", F.col("_code").alias("code")))
+        rest = rest.where(F.col("n") <= small)
+    light = rest.groupBy(*keys).agg(F.sort_array(F.collect_list("_code")).alias("_all"))
     light = light.withColumn("n", F.size("_all").cast("bigint")).select(*keys, "n", "_all", F.explode(wanted).alias("rank"))
-    parts = [light.select(*keys, "n", "rank", F.element_at("_all", F.col("rank").cast("int")).alias("code")), constant]
+    parts.append(light.select(*keys, "n", "rank", F.element_at("_all", F.col("rank").cast("int")).alias("code")))
 
     # The buckets to split: _left is the wanted rank within the bucket.
     # _cell numbers the buckets of a round, _id those of them that are split again.
@@ -89,14 +99,15 @@ def key_ranks(df: DataFrame, keys: list[str], code: str, ranks: Column, buckets:
     rows = d.withColumn("_cell", zero)
     state = cut(state)
     while not state.isEmpty():
-        cells = state.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_cell").alias("_c"), "_id", "_lo", "_hi").distinct()
-        on = _all([*(rows[k].eqNullSafe(cells[f"_k{i}"]) for i, k in enumerate(keys)), rows["_cell"] == cells["_c"]])
-        rows = rows.join(F.broadcast(cells), on).select(*keys, "_code", (F.col("_id") * buckets + F.expr(f"(_code - _lo) div ((_hi - _lo) div {buckets} + 1)")).alias("_cell"))
+        cells = renamed(state, F.col("_cell").alias("_c"), "_id", "_lo", "_hi").distinct()
+        split = rows.join(F.broadcast(cells), on_keys(rows, cells) & (rows["_cell"] == cells["_c"])).select(*keys, "_code", (F.col("_id") * buckets + F.expr(f"(_code - _lo) div ((_hi - _lo) div {buckets} + 1)")).alias("_cell"))
+        before, rows = rows, cut(split)  # rows in no bucket under refinement are gone
+        discard(before)
         hist = rows.groupBy(*keys, "_cell").agg(F.count("*").alias("_rows"), F.min("_code").alias("_lo"), F.max("_code").alias("_hi")).withColumn("_parent", F.expr(f"_cell div {buckets}"))
         w = Window.partitionBy(*keys, "_parent").orderBy("_cell").rowsBetween(Window.unboundedPreceding, Window.currentRow)
         hist = hist.withColumn("_upto", F.sum("_rows").over(w))
-        s = state.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_id").alias("_c"), "n", "rank", "_left")
-        on = _all([*(hist[k].eqNullSafe(s[f"_k{i}"]) for i, k in enumerate(keys)), hist["_parent"] == s["_c"], F.col("_left") <= F.col("_upto"), F.col("_left") > F.col("_upto") - F.col("_rows")])
+        s = renamed(state, F.col("_id").alias("_c"), "n", "rank", "_left")
+        on = on_keys(hist, s) & (hist["_parent"] == s["_c"]) & (F.col("_left") <= F.col("_upto")) & (F.col("_left") > F.col("_upto") - F.col("_rows"))
         found = cut(hist.join(s, on).select(*keys, "_cell", "_lo", "_hi", "n", "_rows", "rank", (F.col("_left") - F.col("_upto") + F.col("_rows")).alias("_left")))
         if least is not None:
             found = found.where(F.col("_rows") >= least)
@@ -108,14 +119,13 @@ def key_ranks(df: DataFrame, keys: list[str], code: str, ranks: Column, buckets:
             continue
         little = found.where(F.col("_rows") <= small)
         picked = little.groupBy(*keys, "_cell", "n").agg(F.collect_list(F.struct("rank", "_left")).alias("_ranks"))
-        p = picked.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_cell").alias("_c"), "n", "_ranks")
-        cell_ids = F.broadcast(p.select(*[c for c in p.columns if c not in ("n", "_ranks")]))
-        on = _all([*(rows[k].eqNullSafe(cell_ids[f"_k{i}"]) for i, k in enumerate(keys)), rows["_cell"] == cell_ids["_c"]])
-        sorted_cells = rows.join(cell_ids, on, "left_semi").groupBy(*keys, "_cell").agg(F.sort_array(F.collect_list("_code")).alias("_all"))
-        on = _all([*(sorted_cells[k].eqNullSafe(p[f"_k{i}"]) for i, k in enumerate(keys)), sorted_cells["_cell"] == p["_c"]])
-        done = sorted_cells.join(p, on).select(*keys, "n", "_all", F.explode("_ranks").alias("_r"))
-        parts.append(done.select(*keys, "n", F.col("_r.rank").alias("rank"), F.element_at("_all", F.col("_r._left").cast("int")).alias("code")))
+        p = renamed(picked, F.col("_cell").alias("_c"), "n", "_ranks")
+        cell_ids = F.broadcast(p.drop("n", "_ranks"))
+        sorted_cells = rows.join(cell_ids, on_keys(rows, cell_ids) & (rows["_cell"] == cell_ids["_c"]), "left_semi").groupBy(*keys, "_cell").agg(F.sort_array(F.collect_list("_code")).alias("_all"))
+        done = sorted_cells.join(p, on_keys(sorted_cells, p) & (sorted_cells["_cell"] == p["_c"])).select(*keys, "n", "_all", F.explode("_ranks").alias("_r"))
+        parts.append(cut(done.select(*keys, "n", F.col("_r.rank").alias("rank"), F.element_at("_all", F.col("_r._left").cast("int")).alias("code"))))
         state = found.where(F.col("_rows") > small).withColumn("_id", numbered)
+    discard(rows)
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -159,7 +169,7 @@ def heavy_keys(df: DataFrame, group: str, key: str, share: float) -> DataFrame:
     step = F.expr(f"greatest(1, n * {num} div {den})").cast("bigint")
     found = key_ranks(codes, [group], "_h", F.sequence(step, F.greatest(F.col("n"), step), step), buckets=4096, least=step)
     found = cut(found.where(F.col("code") >= 0).select(F.col(group).alias("_g"), F.col("code").alias("_c"), "n").distinct())
-    totals = codes.groupBy(F.col(group).alias("_t")).agg(F.count("*").alias("_total"))
+    totals = found.select(F.col("_g").alias("_t"), F.col("n").alias("_total")).distinct()
     keyed = df.where(F.col(key).isNotNull()).select(group, key, hashed.alias("_h"))
     hits = keyed.join(F.broadcast(found.select("_g", "_c")), keyed[group].eqNullSafe(F.col("_g")) & (F.col("_h") == F.col("_c")), "left_semi")
     counts = hits.groupBy(group, key).agg(F.count("*").alias("n"))

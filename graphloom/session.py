@@ -53,7 +53,7 @@ def cut(df: DataFrame, *by: str) -> DataFrame:
 
     Cuts the lineage like ``checkpoint()``, but the stored form is columnar and
     compressed, so later passes read only the columns they use. The files outlive
-    any executor. They are removed when the Python process ends.
+    any executor. They are removed by ``discard`` or when the Python process ends.
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/graphloom-{uuid.uuid4().hex}"
@@ -62,14 +62,27 @@ def cut(df: DataFrame, *by: str) -> DataFrame:
     if not _written:
         atexit.register(_clean)
     _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._graphloom_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Removes the files of a frame that ``cut`` gave, once nothing will read it any more."""
+    path = getattr(df, "_graphloom_path", None)
+    if path is not None:
+        _delete(df.sparkSession, path)
+        _written[:] = [w for w in _written if w[1] != path]
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def _clean() -> None:
     for spark, path in _written:
         try:
-            jvm = spark.sparkContext._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+            _delete(spark, path)
         except Exception:  # the session may be gone already
             return

@@ -92,8 +92,9 @@ def brute_ranks(pairs, probs):
     return {(k, len(v), p, sorted(v)[max(1, math.ceil(p * len(v) - 1e-9)) - 1]) for k, v in by.items() for p in probs}
 
 
-@pytest.mark.parametrize("small, buckets", [(1, 2), (5, 4), (10_000, 256)])
-def test_key_quantiles_equal_brute_force(spark, small, buckets):
+@pytest.mark.parametrize("small, buckets, cells", [(1, 2, 100_000), (5, 4, 100_000), (10_000, 256, 100_000), (5, 4, 6)])
+def test_key_quantiles_equal_brute_force(spark, monkeypatch, small, buckets, cells):
+    monkeypatch.setattr(selection, "MAX_CELLS", cells)  # with 6 most groups are between light and hot
     rng = random.Random(small)
     pairs = [("hot", rng.randint(-(10**12), 10**12)) for _ in range(600)] + [("same", 7)] * 90 + [("ties", rng.randint(0, 3)) for _ in range(150)]
     pairs += [(f"k{i % 40}", rng.randint(0, 99)) for i in range(200)] + [(None, 4), (None, 2), ("null", None)]
@@ -116,7 +117,9 @@ def test_heavy_keys_equal_brute_force(spark):
 # p3: orphans
 
 
-def test_orphans_equal_brute_force(spark):
+@pytest.mark.parametrize("hot", [500_000, 20])
+def test_orphans_equal_brute_force(spark, monkeypatch, hot):
+    monkeypatch.setattr(ranking, "HOT_ROWS", hot)  # with 20 the key of half the references is split
     rng = random.Random(4)
     from datetime import datetime, timedelta
 
@@ -143,6 +146,18 @@ def test_orphans_equal_brute_force(spark):
     assert {r["state"] for r in orphans.find_orphans(rdf, pdf.where("false")).collect()} == {"missing"}
 
 
+def test_orphans_of_one_key_at_one_time(spark, monkeypatch):
+    """All references have the same key and one of three times, null among them; they are split by their ids."""
+    from datetime import datetime
+
+    monkeypatch.setattr(ranking, "HOT_ROWS", 30)
+    at = [datetime(2012, 5, 1), datetime(2012, 7, 1), None]
+    refs = spark.createDataFrame([("t", i, "k", at[i % 3]) for i in range(300)], "tab string, rec_id bigint, key string, at timestamp_ntz")
+    parents = spark.createDataFrame([("t", "k", at[0], at[1])], "tab string, key string, valid_from timestamp_ntz, valid_to timestamp_ntz")
+    got = {(r["rec_id"], r["state"]) for r in orphans.find_orphans(refs, parents).collect()}
+    assert got == {(i, "deleted") for i in range(300) if i % 3}
+
+
 # graph
 
 
@@ -167,8 +182,9 @@ def test_adjacency(spark):
     assert rows(L.adjacency(e, "dst", "src", chunk=2)) == [("b", 0, ["a", "c"]), ("b", 1, ["d"])]
 
 
-@pytest.mark.parametrize("group", [[], ["g"]])
-def test_ranks_equal_brute_force(spark, group):
+@pytest.mark.parametrize("group, hot", [([], 500_000), (["g"], 500_000), (["g"], 10), (["g"], 1)])
+def test_ranks_equal_brute_force(spark, monkeypatch, group, hot):
+    monkeypatch.setattr(ranking, "HOT_ROWS", hot)
     rng = random.Random(1)
     data = [("hot" if rng.random() < 0.7 else rng.choice("abc"), i, rng.randint(0, 5)) for i in range(500)]
     df = spark.createDataFrame(data, "g string, v int, x int").repartition(7)
@@ -182,6 +198,9 @@ def test_ranks_equal_brute_force(spark, group):
         s[2] = max(s[2], x)
         want.add((g, v, x, s[1], s[2], s[0]))
     assert {tuple(r) for r in got} == want
+    ranked = ranking.rank_within(df, group, ["v"]).collect()
+    assert {(r["g"], r["v"], r["rank"]) for r in ranked} == {(w[0], w[1], w[5]) for w in want}
+    assert ranking.rank_within(df.where("false"), group, ["v"]).collect() == []
 
 
 def test_walks(spark):
