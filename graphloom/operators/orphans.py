@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from graphloom.operators.ranking import running_within
 
 FOREVER = "9999-12-31 00:00:00"
+#: Records of the stream, in this order where times are equal.
+KNOWN, BEGUN, REFERENCE = 0, 1, 2
 
 
 def find_orphans(references: DataFrame, parents: DataFrame) -> DataFrame:
@@ -29,21 +31,21 @@ def find_orphans(references: DataFrame, parents: DataFrame) -> DataFrame:
     References and parents form one stream, partitioned by key, sorted by time
     and merged in one pass: the running maximum of ``valid_to`` over the
     parents that began so far tells whether one of them is valid, and a first record
-    per key carries the latest beginning. A key with very many references or
+    of each parent, before all times, carries its beginning. A key with very many references or
     parents is split by time, and where times are equal by ``rec_id`` (see ``running_within``).
     """
     none = F.lit(None).cast("timestamp_ntz")
-    refs = references.where(F.col("key").isNotNull()).select("tab", "key", F.col("at").cast("timestamp_ntz").alias("_at"), F.lit(2).alias("_kind"), none.alias("_last"), none.alias("_to"), "rec_id")
-    spans = parents.where(F.col("key").isNotNull()).select("tab", "key", F.col("valid_from").cast("timestamp_ntz").alias("_from"), F.coalesce(F.col("valid_to").cast("timestamp_ntz"), F.lit(FOREVER).cast("timestamp_ntz")).alias("_to"))
-    nobody = F.lit(None).cast("bigint").alias("rec_id")
-    first = spans.groupBy("tab", "key").agg(F.max("_from").alias("_last")).select("tab", "key", none.alias("_at"), F.lit(0).alias("_kind"), "_last", none.alias("_to"), nobody)
-    # Of parents that begin together the one that lasts longest counts.
-    begun = spans.where(F.col("_from").isNotNull()).groupBy("tab", "key", "_from").agg(F.max("_to").alias("_to")).select("tab", "key", F.col("_from").alias("_at"), F.lit(1).alias("_kind"), none.alias("_last"), "_to", nobody)
-    stream = refs.unionByName(first).unionByName(begun)
-    merged = running_within(stream, ["tab", "key"], ["_at", "_kind", "rec_id"], _seen=("max", F.when(F.col("_kind") < 2, True)), _latest=("max", F.col("_last")), _until=("max", F.col("_to")))
+    refs = references.where(F.col("key").isNotNull()).select("tab", "key", F.col("at").cast("timestamp_ntz").alias("_at"), F.lit(REFERENCE).alias("_kind"), none.alias("_v"), "rec_id")
+    begin, end = F.col("valid_from").cast("timestamp_ntz"), F.coalesce(F.col("valid_to").cast("timestamp_ntz"), F.lit(FOREVER).cast("timestamp_ntz"))
+    record = lambda at, kind, v: F.struct(at.alias("_at"), F.lit(kind).alias("_kind"), v.alias("_v"))
+    both = F.filter(F.array(record(none, KNOWN, begin), record(begin, BEGUN, end)), lambda r: (r["_kind"] == KNOWN) | r["_at"].isNotNull())
+    spans = parents.where(F.col("key").isNotNull()).select("tab", "key", F.explode(both).alias("_r"), F.xxhash64(begin, end).alias("rec_id"))
+    stream = refs.unionByName(spans.select("tab", "key", "_r.*", "rec_id"))
+    of = lambda kind: ("max", F.when(F.col("_kind") == kind, F.col("_v")))
+    merged = running_within(stream, ["tab", "key"], ["_at", "_kind", "rec_id"], _seen=("max", F.when(F.col("_kind") < REFERENCE, True)), _latest=of(KNOWN), _until=of(BEGUN))
     served = F.coalesce(F.col("_until") > F.col("_at"), F.lit(False))
     state = F.when(F.col("_seen").isNull(), "missing").when(F.col("_latest") > F.col("_at"), "late").otherwise("deleted")
-    orphans = merged.where((F.col("_kind") == 2) & ~served)
+    orphans = merged.where((F.col("_kind") == REFERENCE) & ~served)
     return orphans.select("tab", "rec_id", F.date_format("_at", "yyyy-MM").alias("period"), state.alias("state")).distinct()
 
 
