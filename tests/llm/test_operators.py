@@ -88,6 +88,11 @@ def test_leaks(spark):
     assert rows(leaks.remove_leaks(df, items).where("doc_id = 1")) == [(1, "x y")]
     assert {r[0] for r in leaks.remove_leaks(df, items, "document").collect()} == {3, 4, 5}
     assert rows(leaks.find_leaks(df, items.where("false"))) == []
+    w = [f"w{i}" for i in range(18)]
+    both = spark.createDataFrame([(1, "s", " ".join(w[:12])), (2, "s", " ".join(w[6:]))], "item_id bigint, suite string, text string")
+    overlapping = documents(spark, [(1, f"begin {' '.join(w)} end", None)])
+    for size in (1, 1000):  # the items in two blocks, or in one
+        assert rows(leaks.remove_leaks(overlapping, both, block_words=size)) == [(1, "begin end")]
     assert rows(leaks.find_leaks(df.where("false"), items)) == []
 
 

@@ -64,6 +64,19 @@ def test_leak_windows_equal_brute_force():
             if any(doc[a : a + n] == w[b : b + n] for a in range(len(doc) - n + 1) for b in range(len(w) - n + 1)):
                 want.add(i)
         assert {i for _, _, found in p.spans(" ".join(doc)) for i in found} == want
+    texts = [" ".join(rng.choice(vocabulary) for _ in range(rng.randint(0, 30))) for _ in range(60)] + [None, ""]
+    assert {(k, i) for k, _, _, i in p.scan(texts)} == {(k, i) for k, t in enumerate(texts) for _, _, found in p.spans(t) for i in found}
+
+
+def test_leak_table_is_small(monkeypatch):
+    rng = random.Random(9)
+    items = [(i, [f"{rng.randrange(10**6)}" for _ in range(500)]) for i in range(100)]
+    p = leaks.Passages(items, 12)
+    held = len(p.text) + p.offsets.nbytes + p.ends.nbytes + p.items.nbytes + sum(x.nbytes for t in p.tables for x in t)
+    assert held < 50 * 100 * 500
+    monkeypatch.setattr(leaks, "SCAN_WORDS", 40)
+    texts = [" ".join(w[i : i + 12]) for i, w in items] + [" ".join(w[:11]) for _, w in items]
+    assert {(k, i) for k, _, _, i in p.scan(texts)} == {(k, k) for k in range(100)}
 
 
 def test_leak_normalisation_and_removal():
