@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from graphloom.operators.skew import skewed_join
 from graphloom.session import cut
 
+#: So many hashes of repeated ids are broadcast at most, 8 bytes each.
+MOST_REPEATED = 1_000_000
+
 
 def terms(text: Column) -> Column:
     """The longest letter runs of the lower-cased text; null for null, empty for none."""
@@ -20,10 +23,19 @@ def records(df: DataFrame, id: str, text: str) -> DataFrame:
     """``id``, ``text``, ``_t``: one row per id with a non-null text.
 
     Rows with the same id are one record. Rows without an id are one record per
-    distinct text, told apart by ``_t``, which is null for all other rows.
+    distinct text, told apart by ``_t``, which is null for all other rows. Only ids are
+    counted; of the texts those of repeated ids alone are shuffled, unless the hashes of these
+    are more than ``MOST_REPEATED``, the bound of what is broadcast.
     """
     d = df.where(F.col(text).isNotNull()).select(F.col(id).alias("id"), F.col(text).alias("text"))
-    return d.withColumn("_t", F.when(F.col("id").isNull(), F.xxhash64("text"))).dropDuplicates(["id", "_t"])
+    d = d.withColumn("_t", F.when(F.col("id").isNull(), F.xxhash64("text")))
+    key = F.xxhash64("id", "_t")
+    repeated = cut(d.groupBy(key.alias("_h")).agg(F.count("*").alias("_n")).where("_n > 1").select("_h"))
+    if repeated.count() > MOST_REPEATED:
+        return d.dropDuplicates(["id", "_t"])
+    d = d.join(F.broadcast(repeated), key == F.col("_h"), "left")
+    again = d.where("_h IS NOT NULL").drop("_h").dropDuplicates(["id", "_t"])
+    return d.where("_h IS NULL").drop("_h").unionByName(again)
 
 
 def count_records(df: DataFrame, id: str, text: str) -> int:
@@ -35,11 +47,16 @@ def count_records(df: DataFrame, id: str, text: str) -> int:
 def record_terms(df: DataFrame, id: str, text: str) -> DataFrame:
     """``id``, ``_t``, ``term``, ``tf``: how often each term occurs in each record.
 
-    Records are already partitioned by id, so counting within a record needs no
-    further shuffle. Null and empty texts have no rows.
+    A record's terms are sorted and counted within its row, so nothing is shuffled
+    for it. Null and empty texts have no rows.
     """
-    words = records(df, id, text).select("id", "_t", F.explode(terms(F.col("text"))).alias("term"))
-    return words.groupBy("id", "_t", "term").agg(F.count("*").alias("tf"))
+    words = records(df, id, text).select("id", "_t", F.sort_array(terms(F.col("text"))).alias("_w"))
+    at = lambda i: F.element_at("_w", i)
+    places = F.when(F.size("_w") > 0, F.sequence(F.lit(1), F.size("_w")))
+    runs = words.withColumn("_runs", F.filter(places, lambda i: (i == 1) | (at(i) != at(F.greatest(i - 1, F.lit(1))))))
+    next_run = lambda k: F.coalesce(F.get("_runs", k + 1), F.size("_w") + 1)
+    counted = F.transform("_runs", lambda i, k: F.struct(at(i).alias("term"), (next_run(k) - i).cast("bigint").alias("tf")))
+    return runs.select("id", "_t", F.explode(counted).alias("_c")).select("id", "_t", "_c.term", "_c.tf")
 
 
 def term_frequencies(counts: DataFrame) -> DataFrame:

@@ -20,7 +20,9 @@ def revisions(spark, texts):
     return spark.createDataFrame([(i, 0, t, 1, "x", "y") for i, t in texts], REVISIONS)
 
 
-def test_terms(spark):
+@pytest.mark.parametrize("repeated", [terms.MOST_REPEATED, 0])
+def test_terms(spark, monkeypatch, repeated):
+    monkeypatch.setattr(terms, "MOST_REPEATED", repeated)
     texts = [(1, "the cat the Cat ÄPFEL"), (1, "the cat the Cat ÄPFEL"), (2, "the dog"), (3, "the the bird cat"), (4, None), (5, ""), (None, "the x"), (None, "the x"), (None, "the y y")]
     df = revisions(spark, texts)
     docs = {k: t.lower().split() for k, t in [(1, texts[0][1]), (2, "the dog"), (3, texts[3][1]), (5, ""), ("a", "the x"), ("b", "the y y")]}
