@@ -40,10 +40,10 @@ def p2_clean(spark: SparkSession, d: str) -> DataFrame:
 
 @query("p2_own_content")
 def p2_own_content(spark: SparkSession, d: str) -> DataFrame:
-    """The HTML revisions without what pages of their language have in common; the language of
-    a page stands for the host, which these tables don't have."""
+    """Every revision without what the texts of its language have in common; the language of
+    a page stands for the host, which these tables don't have. Revisions without a page or language are one host."""
     pages = table(spark, d, "pages").select(F.col("id").alias("page_id"), language_code(F.col("language")).alias("host")).dropDuplicates(["page_id"])
-    r = table(spark, d, "revisions").where(F.col("text").rlike(r"(?i)^\s*<(?:div|p|h[1-6]|html|body|!doctype)\b")).dropDuplicates(["id"])
+    r = table(spark, d, "revisions").dropDuplicates(["id"])
     return wrappers.own_content(r.join(pages, "page_id", "left"), "id", "host", "text")
 
 

@@ -3,6 +3,7 @@
 import collections
 import math
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -137,9 +138,30 @@ def test_own_content_counts_texts_exactly(spark):
 def test_own_content_of_long_pages(spark, monkeypatch, most):
     """The first page fills a template by itself; what all later ones share comes after it."""
     monkeypatch.setattr(wrappers, "MOST_BYTES", most)
-    monkeypatch.setattr(wrappers, "NODES", 20)
     pages = ["".join(f"<p>first {k}</p>" for k in range(30))] + [f"<table><tr><td>own {i}<td>shared</table>" + "".join(f"<h{k}>x{i}</h{k}><i{i}></i{i}>" for k in range(1, 4)) for i in range(1, 30)]
     df = spark.createDataFrame(spark.sparkContext.parallelize([(i, "h", x) for i, x in enumerate(pages)], 2), "id bigint, host string, text string")
     got = dict(rows(wrappers.own_content(df, "id", "host", "text")))
     assert got[0] == "\n".join(f"first {k}" for k in range(30))
     assert all(got[i] == "\n".join([f"own {i}", *[f"x{i}"] * 3]) for i in range(1, 30))
+
+
+def test_own_content_is_the_same_in_any_order(spark):
+    """A menu of 500 entries on nine of ten pages, and a host whose pages vary in structure."""
+    rng = random.Random(8)
+    menu = "<ul>" + "".join(f"<li>menu {k}</li>" for k in range(500)) + "</ul>"
+    pages = [(0, "h", "<p>short</p>")] + [(i, "h", f"{menu}<p>own {i}</p>") for i in range(1, 10)]
+    for i in range(10, 40):
+        pages.append((i, "v", "".join(rng.choice(["<p>a</p>", "<div><b>b</b></div>", f"<i>x{i}</i>", "<p>c<b>d</b></p>"]) for _ in range(6))))
+    results = []
+    for order in range(3):
+        rng.shuffle(pages)
+        df = spark.createDataFrame(spark.sparkContext.parallelize(pages, 1 + 3 * order), "id bigint, host string, text string")
+        results.append(dict(rows(wrappers.own_content(df, "id", "host", "text"))))
+    assert results[0] == results[1] == results[2]
+    assert results[0][0] == "short" and all(results[0][i] == f"own {i}" for i in range(1, 10))
+
+
+def test_nesting_of_any_depth_keeps_its_texts(spark):
+    deep = "<div>" * 3000 + "deep" + "</div>" * 3000 + "<p>after"
+    df = spark.createDataFrame([(1, "h", deep), (2, "g", "x" * 100_000), (3, "g", "")], "id bigint, host string, text string")
+    assert dict(rows(wrappers.own_content(df, "id", "host", "text"))) == {1: "deep\nafter", 2: "x" * 100_000, 3: ""}

@@ -1,5 +1,6 @@
 """Kernels of the text operators, without Spark."""
 
+import collections
 import os
 import random
 
@@ -191,26 +192,39 @@ def test_stops():
     assert s("Some Title", "Some Title") == "title"
 
 
+def test_alignment_is_the_best_whatever_the_way(monkeypatch):
+    rng = random.Random(1)
+    some = ["<p>a</p>", "<p>b</p>", "<b>c</b>", "<i><b>d</b>e</i>", "<i>f</i>"]
+
+    def weight(pairs):
+        return sum(wrappers.match(x, y) + (not x.whole.isdisjoint(y.whole)) for x, y in pairs if x is not None and y is not None)
+
+    for _ in range(30):
+        x, y = (wrappers.parse("".join(rng.choice(some) for _ in range(rng.randint(1, 40)))).kids for _ in range(2))
+        best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+        for i in range(len(x)):
+            for j in range(len(y)):
+                best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + weight([(x[i], y[j])]))
+        for cells in (wrappers.MOST_CELLS, 4):
+            with monkeypatch.context() as m:
+                m.setattr(wrappers, "MOST_CELLS", cells)
+                assert weight(wrappers.align(x, y)) == best[-1][-1]
+
+
 PAGE = "<html><body><div class=nav><a>Home</a><a>About</a></div><h1>{0}</h1>{1}<ul>{2}</ul><p>Copyright the town</body></html>"
 
 
 def test_wrapper_induction():
     pages = [PAGE.format(f"Title {i}", "<p>Body text %d" % i + ("<p>More" if i % 3 == 0 else ""), "".join(f"<li>item {i} {k}" for k in range(i % 4))) for i in range(12)]
-    trees = [wrappers.parse(p) for p in pages]
-    t = wrappers.parse(pages[0])
-    for p in pages[1:]:
-        wrappers.merge(t, wrappers.parse(p))
-    halves = [wrappers.parse(pages[0]), wrappers.parse(pages[6])]
-    for k in range(5):
-        wrappers.merge(halves[0], wrappers.parse(pages[k + 1]))
-        wrappers.merge(halves[1], wrappers.parse(pages[k + 7]))
-    wrappers.merge(halves[0], halves[1])
-    for root in (t, wrappers.Node.unpack(halves[0].pack())):
-        assert root.n == 12
-        own = wrappers.own_texts(root, trees[5], root.n)
-        assert own == ["Title 5", "Body text 5", "item 5 0"]
-    assert wrappers.own_texts(None, trees[1], 1)[0] == "Home"
-    assert wrappers.match(wrappers.parse("<p>a<b>c</b>"), wrappers.parse("<p>a<i>x</i><b>d</b>")) == 1 + 1 + 2 + 1 + 1
+    seen = collections.Counter()
+    root = wrappers.Node.unpack(wrappers.template(pages[:5]).pack())
+    for p in pages:
+        seen.update({wrappers.place_hash(*x) for x in wrappers.places(root, wrappers.parse(p))})
+    same = {h for h, n in seen.items() if n >= 6}
+    assert root.n == 5
+    assert wrappers.own_texts(root, wrappers.parse(pages[5]), same) == ["Title 5", "Body text 5", "item 5 0"]
+    assert wrappers.own_texts(None, wrappers.parse(pages[1]), set())[0] == "Home"
+    assert wrappers.match(wrappers.parse("<p>a<b>c</b>"), wrappers.parse("<p>a<i>x</i><b>d</b>")) == 1 + 1 + 1 + 1 + 1
 
 
 def test_running_text_is_not_a_whole_ending():
