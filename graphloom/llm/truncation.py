@@ -7,13 +7,14 @@ from collections.abc import Iterator
 import pyarrow as pa
 import regex
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from graphloom.session import cut
 
-#: Shorter texts aren't looked up as beginnings of others: too many begin alike.
+#: Beginnings of so many characters and twice, four times, … as many are compared by hash before texts are;
+#: shorter texts are looked up by their own length.
 LEAST = 64
 #: So many hashes are broadcast at most, 8 bytes each.
 MOST_HASHES = 500_000
@@ -106,16 +107,40 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def longer_copies(df: DataFrame, text: str, least: int = LEAST) -> DataFrame:
-    """``h``, ``rest``: the distinct texts that another text continues, by the hash
-    ``xxhash64(text)``, with the first eight characters of the continuation.
+    """``h``, ``rest``, ``word``, ``digit``, ``more``: the distinct texts of one character or more that another text
+    continues, by the hash ``xxhash64(text)``, with the first eight characters of the continuation that is first in
+    order, and whether a continuation begins with a letter or digit, with a digit, and with more of the same line.
 
-    Beginnings of 64, 128, 256, ... characters are hashed for every text; only texts
+    For texts under ``least`` characters every longer text counts: the beginnings of all texts are looked up
+    by the lengths that occur, and what follows them is combined before it is shuffled. For others
+    beginnings of 64, 128, 256, ... characters are hashed for every text; only texts
     that share one with a different text are compared. These are sorted by range of
     the text itself, so a beginning that very many texts share is spread over tasks,
     and each is held against its successor: the next text in byte order continues a
-    text if any does. Copies are removed first. Texts under ``least`` characters are
-    not looked up. Nulls are left out.
+    text if any does, and it alone decides. Copies are removed first. Nulls are left out.
     """
+    return _short_copies(df, text, least).unionByName(_long_copies(df, text, least).select("h", "rest", *_goes_on()))
+
+
+def _goes_on(rest: str = "rest") -> list[Column]:
+    c = F.col(rest)
+    return [c.rlike(r"^[\p{L}\p{N}]").alias("word"), c.rlike(r"^\p{N}").alias("digit"), (~c.rlike(r"^\s*\n")).alias("more")]
+
+
+def _short_copies(df: DataFrame, text: str, least: int) -> DataFrame:
+    t = df.where((F.length(text) > 0) & (F.length(text) < least)).select(F.length(text).alias("n"), F.xxhash64(text).alias("h"))
+    t = cut(t.distinct())
+    lengths = sorted(r["n"] for r in t.select("n").distinct().collect())  # below least
+    longer = df.where(F.length(text) > 1).select(F.col(text).alias("text"))
+    longer = longer.select("text", F.explode(F.filter(F.array(*map(F.lit, lengths)).cast("array<int>"), lambda n: n < F.length("text"))).alias("n"))
+    begun = longer.select("n", F.xxhash64(F.expr("substring(text, 1, n)")).alias("h"), F.expr("substring(text, n + 1, 8)").alias("rest"))
+    if t.count() <= MOST_HASHES:
+        begun = begun.join(F.broadcast(t), ["n", "h"], "left_semi")
+    found = begun.select("n", "h", "rest", *_goes_on()).groupBy("n", "h").agg(F.min("rest").alias("rest"), *[F.max(c).alias(c) for c in ("word", "digit", "more")])
+    return found.join(t, ["n", "h"], "left_semi").select("h", "rest", "word", "digit", "more")
+
+
+def _long_copies(df: DataFrame, text: str, least: int) -> DataFrame:
     t = df.where(F.length(text) >= least).select(F.col(text).alias("text"), F.xxhash64(text).alias("h"))
     level = F.explode(F.sequence(F.lit(least.bit_length() - 1), F.floor(F.log2(F.length("text"))).cast("int")))
     starts = t.select("h", "text", level.alias("level"))
@@ -128,9 +153,10 @@ def longer_copies(df: DataFrame, text: str, least: int = LEAST) -> DataFrame:
     else:
         texts = t.groupBy("h").agg(F.min("text").alias("text")).join(able, "h", "left_semi")
     pairs = cut(texts.repartitionByRange("text").sortWithinPartitions("text").select("h", "text").mapInArrow(_neighbours, "h bigint, rest string, part int, side int, text string"))
-    ends = pairs.where("side IS NOT NULL")
-    by = Window.orderBy("part", "side")  # two rows per partition
-    following = ends.select("h", "text", "side", F.lead("text").over(by).alias("_next")).where("side = 1 AND startswith(_next, text)")
+    number = pairs.where("side = 0").select("part").withColumn("r", F.row_number().over(Window.orderBy("part")))  # a number per partition
+    ends = pairs.where("side IS NOT NULL").join(number, "part")
+    first = ends.where("side = 0").select((F.col("r") - 1).alias("r"), F.col("text").alias("_next"))
+    following = ends.where("side = 1").join(first, "r").where("startswith(_next, text)")
     following = following.select("h", F.expr("substring(_next, length(text) + 1, 8)").alias("rest"))
     return pairs.where("side IS NULL").select("h", "rest").unionByName(following).where("rest <> ''")
 
@@ -141,7 +167,9 @@ def _stops(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [stop(t, n) for t, n in zip(texts, titles)]
         tails = [(t or "")[-8:] for t in texts]
         lists = [bool(_list.match(t[t.rfind("\n") + 1 :])) if t else False for t in texts]
-        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("source"), batch.column("h"), pa.array(kinds, pa.string()), pa.array(tails, pa.string()), pa.array(lists, pa.bool_())], names=["id", "source", "h", "stop", "tail", "in_list"])
+        single = [k == "title" and (bool(n) or len(t.split()) == 1) for k, t, n in zip(kinds, texts, titles)]
+        columns = [pa.array(kinds, pa.string()), pa.array(tails, pa.string()), pa.array(lists, pa.bool_()), pa.array(single, pa.bool_())]
+        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("source"), batch.column("h"), *columns], names=["id", "source", "h", "stop", "tail", "in_list", "word"])
 
 
 def text_stops(df: DataFrame, id: str = "doc_id", text: str = "text", title: str = "title", source: str = "source") -> DataFrame:
@@ -149,14 +177,15 @@ def text_stops(df: DataFrame, id: str = "doc_id", text: str = "text", title: str
 
     ``stop`` is where the text stops (see ``stop``). ``truncated`` holds if that is
     inside a word or sentence, or if a longer copy shows that a word or number, or
-    a list entry, goes on at the end (``stop`` 'copy'). Null, empty and blank texts
+    a list entry, goes on at the end (``stop`` 'copy'); a title of one word, with which other texts may
+    begin by chance, or the record's own title is never cut. Null, empty and blank texts
     are 'blank' and not truncated. Rows keep their number.
     """
     d = df.select(F.col(id).alias("id"), F.col(source).alias("source"), F.col(text).alias("text"), F.col(title).alias("title"), F.xxhash64(text).alias("h"))
     kind = d.schema["id"].dataType.simpleString()
-    stops = d.mapInArrow(_stops, f"id {kind}, source string, h bigint, stop string, tail string, in_list boolean")
-    longer = longer_copies(df, text).groupBy("h").agg(F.min("rest").alias("rest"))
-    goes_on = (F.col("tail").rlike(r"[\p{L}\p{N}]$") & F.col("rest").rlike(r"^[\p{L}\p{N}]")) | (F.col("tail").rlike(r"\p{N}[.,]$") & F.col("rest").rlike(r"^\p{N}")) | (F.col("in_list") & ~F.col("rest").rlike(r"^\s*\n"))
+    stops = d.mapInArrow(_stops, f"id {kind}, source string, h bigint, stop string, tail string, in_list boolean, word boolean")
+    longer = longer_copies(df, text).withColumnRenamed("word", "in_word")
+    goes_on = (F.col("tail").rlike(r"[\p{L}\p{N}]$") & F.col("in_word") & ~F.col("word")) | (F.col("tail").rlike(r"\p{N}[.,]$") & F.col("digit")) | (F.col("in_list") & F.col("more"))
     own = F.col("stop").isin(*CUT)
     copied = F.coalesce(goes_on, F.lit(False))
     return stops.join(longer, "h", "left").select("id", "source", F.when(~own & copied, "copy").otherwise(F.col("stop")).alias("stop"), (own | copied).alias("truncated"))

@@ -101,11 +101,13 @@ def test_leaks(spark):
 
 def test_longer_copies_equal_brute_force(spark):
     base = "".join(chr(97 + i * 7 % 26) for i in range(400))
-    texts = [base[:n] for n in (63, 64, 65, 100, 128, 129, 255, 256, 400)] + [base[:100] + "X", base[:100], "é" + base[:90], "é" + base[:70], "z" * 70, "z" * 70]
+    texts = [base[:n] for n in (63, 64, 65, 100, 128, 129, 255, 256, 400)] + [base[:100] + "X", base[:100], "é" + base[:90], "é" + base[:70], "z" * 70, "z" * 70, "a", base[:7], "short", "short!", "shorts", ""]
     got = {r["h"]: r["rest"] for r in truncation.longer_copies(documents(spark, [(i, t, None) for i, t in enumerate(texts)]), "text").collect()}
     hashed = {r["t"]: r["h"] for r in spark.createDataFrame([(t,) for t in texts], "t string").select("t", F.xxhash64("t").alias("h")).collect()}
-    assert set(got) == {hashed[t] for t in texts if len(t) >= 64 and any(u != t and u.startswith(t) for u in texts)}
+    assert set(got) == {hashed[t] for t in texts if t and any(u != t and u.startswith(t) for u in texts)}
     assert got[hashed[base[:256]]] == base[256:264]
+    flags = {r["h"]: (r["word"], r["digit"], r["more"]) for r in truncation.longer_copies(documents(spark, [(i, t, None) for i, t in enumerate(texts)]), "text").collect()}
+    assert flags[hashed["short"]] == (True, False, True)  # of both longer texts
 
 
 def test_truncated(spark):
@@ -115,6 +117,8 @@ def test_truncated(spark):
     assert got == {1: ("sentence", False), 2: ("copy", True), 3: ("inside", True), 4: ("blank", False), 5: ("blank", False), 6: ("entry", False), 7: ("copy", True)}
     assert rows(truncation.truncation_by_source(truncation.text_stops(df))) == sorted([("a", 3, 2, 0.666667), (None, 0, 0, 0.0), ("b", 2, 1, 0.5)], key=repr)
     assert truncation.text_stops(df.where("false")).collect() == []
+    short = documents(spark, [(1, "Small cut tex", "a"), (2, "Small cut text and more of it.", "a"), (3, "Sma", "a"), (4, "Small cut", "a")])
+    assert {r["id"]: r["stop"] for r in truncation.text_stops(short).collect()} == {1: "copy", 2: "sentence", 3: "title", 4: "title"}
 
 
 def test_own_content(spark):
