@@ -21,9 +21,13 @@ def standard_tokens(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(c), F.lit(r"([\p{L}\p{N}]+(?:['.][\p{L}\p{N}]+)*)"), F.lit(0))
 
 
+#: The letters of the Latin tokenizer, basic and accented.
+LATIN = "àÀâÂçÇéÉèÈêÊëËîÎïÏôÔûÛùÙüÜÿŸA-Za-z"
+
+
 def latin_tokens(c: Column) -> Column:
-    """Runs of basic Latin letters and the accented ones of French, case kept."""
-    return F.regexp_extract_all(c, F.lit("([àÀâÂäÄçÇéÉèÈêÊëËîÎïÏôÔöÖùÙûÛüÜœŒæÆA-Za-z]+)"), F.lit(0))
+    """Runs of the letters of ``LATIN``, case kept."""
+    return F.regexp_extract_all(c, F.lit(f"([{LATIN}]+)"), F.lit(0))
 
 
 TOKENIZERS: dict[str, Callable[[Column], Column]] = {"simple": simple_tokens, "standard": standard_tokens, "latin": latin_tokens}

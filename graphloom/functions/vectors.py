@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -65,3 +65,26 @@ def relatedness(size_a: Column, size_b: Column, overlap: Column, articles: float
     a, b, o = size_a + smoothing, size_b + smoothing, overlap + smoothing
     near = F.exp(-(F.log(F.greatest(a, b)) - F.log(o)) / (F.lit(math.log(articles)) - F.log(F.least(a, b))))
     return F.when(o <= 0, F.lit(0.0)).otherwise(near)
+
+
+#: So many numbers of points are sent to the rows in one go.
+MOST_NUMBERS = 4_000_000
+
+
+def nearest(rows: DataFrame, id: str, vector: str, points: DataFrame, name: str, point: str) -> DataFrame:
+    """``id``, ``name``, ``div``: the point with the least KL divergence of each row, rounded to 9 digits, on a tie
+    the first by name; rows without a vector or points don't come out.
+
+    All points are one array that each row scans, so rows are neither multiplied nor shuffled. The points
+    are broadcast in blocks of ``MOST_NUMBERS`` numbers; rows keep the best of the blocks.
+    """
+    p = points.where(F.col(point).isNotNull() & F.col(name).isNotNull())
+    width = p.agg(F.max(F.size(point))).first()[0] or 1
+    blocks = -(-p.count() * width // MOST_NUMBERS) or 1
+    packed = p.groupBy(F.pmod(F.xxhash64(name), F.lit(blocks)).alias("_k")).agg(F.collect_list(F.struct(F.col(name).alias("name"), F.col(point).alias("point"))).alias("_all"))
+    best = rows.select(id, vector, F.lit(None).cast(f"struct<div: double, name: {p.schema[name].dataType.simpleString()}>").alias("_best"))
+    for k in range(blocks):
+        block = packed.where(F.col("_k") == k).select("_all").scalar()
+        found = F.array_min(F.transform("_all", lambda x: F.struct(F.round(kl(F.col(vector), x["point"]), 9).alias("div"), x["name"].alias("name"))))
+        best = best.withColumn("_all", block).select(id, vector, F.least("_best", found).alias("_best"))
+    return best.where(F.col("_best.div").isNotNull()).select(id, F.col("_best.name").alias(name), F.col("_best.div").alias("div"))

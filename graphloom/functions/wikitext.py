@@ -120,6 +120,38 @@ def admitted_links(links: DataFrame, page_language: str = "page_language") -> Da
     return links.where((F.col("colon") | own) & (F.length("short_title") <= LONGEST_TITLE))
 
 
+def hidden_links(language: str = "language", page_language: str = "page_language") -> Column:
+    """Whether a link shows nothing: one without a leading colon to another language, a category (14) or a file (6)."""
+    return ~F.col("colon") & (~F.col(language).eqNullSafe(F.col(page_language)) | F.col("namespace_id").isin(6, 14))
+
+
+def links_to_text(df: DataFrame, page: str, text: str, namespaces: DataFrame) -> DataFrame:
+    """``page``, ``text``, ``links``: the text of each page with links replaced by what they show, and the links in
+    order as ``offset`` in the new text, ``dst``, ``display`` and ``hidden``.
+
+    Hidden links show nothing (``hidden_links``). Repeated rows come once, null texts are left out.
+    """
+    d = df.select(F.col(page).alias("page"), F.col(text).alias("text")).where("text IS NOT NULL").distinct().withColumn("_h", F.xxhash64("text"))
+    d = d.withColumn("_key", F.concat_ws("\u0001", "page", F.col("_h").cast("string")))
+    found = extract_links(d, "_key", "text").withColumn("page", F.substring_index("_key", "\u0001", 1))
+    found = resolve_titles(found, "page", namespaces).withColumn("hidden", hidden_links())
+    shown = F.when(F.col("hidden"), "").otherwise(F.col("display"))
+    found = found.groupBy("_key").agg(F.array_sort(F.collect_list(F.struct("pos", "dst", shown.alias("display"), "hidden"))).alias("_l"))
+    none = F.array().cast("array<struct<pos:bigint,dst:string,display:string,hidden:boolean>>")
+    j = d.join(found, "_key", "left").withColumn("_l", F.coalesce("_l", none)).withColumn("_between", F.split("text", LINK))
+    placed = F.aggregate(
+        F.sequence(F.lit(0), F.size("_l")),
+        F.struct(F.lit("").alias("out"), F.array().cast("array<int>").alias("at")),
+        lambda s, i: F.struct(
+            F.concat(s["out"], F.get("_between", i), F.coalesce(F.get("_l", i)["display"], F.lit(""))).alias("out"),
+            F.array_append(s["at"], F.length(s["out"]) + F.length(F.get("_between", i))).alias("at"),
+        ),
+    )
+    j = j.withColumn("_p", placed)
+    listed = F.transform("_l", lambda x, i: F.struct(F.get("_p.at", i).alias("offset"), x["dst"].alias("dst"), x["display"].alias("display"), x["hidden"].alias("hidden")))
+    return j.select("page", F.col("_p.out").alias("text"), listed.alias("links"))
+
+
 def split_sections(df: DataFrame, id: str, text: str) -> DataFrame:
     """``id``, ``pos``, ``level``, ``title``, ``text``: the sections at ``==`` headings; what
     stands before the first has level 0 and a null title."""
@@ -147,17 +179,20 @@ def list_lines(text: Column) -> Column:
 _steps = [
     (regex.compile(r"\[(?:https?|ftp)://[^\s\]]+(?:\s+([^\]]*))?\]"), lambda m: m[1] or ""),
     (regex.compile(r"<nowiki>.*?</nowiki>|<source\b.*?</source>|<!--.*?-->|<ref\b[^<>]*/>|<ref\b.*?</ref>", regex.S | regex.I), ""),
-    (regex.compile(r"\{\{\{[^{}]*\}\}\}|\{\{[^{}]*\}\}|\{\|[^{}]*\|\}"), ""),
+    (regex.compile(r"\{\{\{[^{}]*\}\}\}|\{\{[^{}]*\}\}"), ""),
 ]
+_table = (regex.compile(r"\{\|[^{}]*\|\}"), "")
 _tags = regex.compile(r"</?[a-zA-Z][^<>]*>")
 
 
-def strip_wiki(text: str) -> str:
+def strip_wiki(text: str, tables: bool = False) -> str:
     """Text without external links (their label stays), nowiki, source, comments, references
-    and templates, removed from the inside out until nothing changes, and then without tags."""
+    and templates, removed from the inside out until nothing changes, and then without tags;
+    with ``tables`` without tables too."""
+    steps = [*_steps, _table] if tables else _steps
     while True:
         before = text
-        for pattern, by in _steps:
+        for pattern, by in steps:
             text = pattern.sub(by, text)
         if text == before:
             return _tags.sub("", text)

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from graphloom.functions.text import tokens
+from graphloom.session import cut
 
 
 def bag_of_words(docs: DataFrame, doc: str, text: str, tokenizer: str = "simple") -> DataFrame:
@@ -74,42 +73,41 @@ def averaged_frequencies(freqs: DataFrame) -> DataFrame:
     return freqs.select("r", "n_r", (2 * F.col("n_r") / (after - before)).alias("z_r"))
 
 
-def good_turing(freqs: DataFrame, mode: str = "reference") -> dict:
-    """Simple Good-Turing from ``r``, ``n_r``: ``p0``, the mass of unseen things, ``slope``,
-    ``intercept`` and ``p``, the probability of a thing for each r.
+def good_turing_table(freqs: DataFrame, mode: str = "reference") -> DataFrame:
+    """``r``, ``n_r``, ``p``, ``p0``, ``slope``, ``intercept``: simple Good-Turing from ``r``, ``n_r``, a row per count.
 
-    While the Turing estimate is used, 'reference' keeps it where it differs from
-    the smoothed one by less than 1.96 standard deviations, 'standard' where it
-    differs by more; after the first failure the smoothed estimate holds for all
-    larger r. An empty input has p0 = 0.
+    ``p0`` is the mass of unseen things, ``p`` the probability of a thing that occurs ``r`` times. The Turing
+    estimate holds from the least ``r`` as long as the next count occurs and a test passes, the
+    smoothed one from the first failure on: with 'reference' both may differ by less than 1.96
+    standard deviations, with 'standard' they must differ by more. Like ``averaged_frequencies`` this has
+    a row per distinct count. An empty input gives no rows.
     """
-    rows = [(r["r"], r["n_r"], r["z_r"]) for r in averaged_frequencies(freqs).orderBy("r").collect()]
-    if not rows:
-        return {"p0": 0.0, "slope": 0.0, "intercept": 0.0, "p": {}}
-    total = sum(r * n for r, n, _ in rows)
-    count = {r: n for r, n, _ in rows}
-    x, y = [math.log(r) for r, _, _ in rows], [math.log(z) for _, _, z in rows]
-    mx, my = sum(x) / len(x), sum(y) / len(y)
-    sxx = sum((a - mx) ** 2 for a in x)
-    slope = sum((a - mx) * (b - my) for a, b in zip(x, y)) / sxx if sxx else 0.0
-    intercept = my - slope * mx
-    smooth = lambda r: math.exp(slope * math.log(r) + intercept)
-    p0 = count.get(1, 0) / total
-    turing, star = True, {}
-    for r, n, _ in rows:
-        linear = (r + 1) * smooth(r + 1) / smooth(r)
-        m = count.get(r + 1, 0)
-        if turing and m:
-            raw = (r + 1) * m / n
-            limit = 1.96 * ((r + 1) / n) * math.sqrt(m * (1 + m / n))
-            near = abs(raw - linear) < limit
-            if near == (mode == "reference"):
-                star[r] = raw
-                continue
-        turing = False
-        star[r] = linear
-    mass = sum(count[r] * star[r] for r in star)
-    return {"p0": p0, "slope": slope, "intercept": intercept, "p": {r: (1 - p0) * star[r] / mass for r in star}}
+    every = Window.partitionBy(F.lit(0))
+    order = Window.orderBy("r")
+    z = averaged_frequencies(freqs)
+    x, y = F.log("r"), F.log("z_r")
+    mean_x, mean_y = F.avg(x).over(every), F.avg(y).over(every)
+    z = z.withColumns({"_x": x - mean_x, "_y": y - mean_y, "_mx": mean_x, "_my": mean_y})
+    z = z.withColumn("slope", F.coalesce(F.try_divide(F.sum(F.col("_x") * F.col("_y")).over(every), F.sum(F.col("_x") * F.col("_x")).over(every)), F.lit(0.0)))
+    z = z.withColumn("intercept", F.col("_my") - F.col("slope") * F.col("_mx"))
+    smooth = (F.col("r") + 1) * F.exp(F.col("slope") * (F.log(F.col("r") + 1) - F.log("r")))
+    following = F.when(F.lead("r").over(order) == F.col("r") + 1, F.lead("n_r").over(order))
+    ratio = following / F.col("n_r")
+    z = z.withColumns({"_smooth": smooth, "_raw": (F.col("r") + 1) * ratio, "_limit": 1.96 * (F.col("r") + 1) / F.col("n_r") * F.sqrt(following * (1 + ratio))})
+    near = F.abs(F.col("_raw") - F.col("_smooth")) < F.col("_limit")
+    passed = F.coalesce(near if mode == "reference" else ~near, F.lit(False))
+    z = z.withColumn("_passed", passed)
+    star = F.when(F.min("_passed").over(order), F.col("_raw")).otherwise(F.col("_smooth"))
+    z = z.withColumns({"_star": star, "p0": F.coalesce(F.max(F.when(F.col("r") == 1, F.col("n_r"))).over(every), F.lit(0)) / F.sum(F.col("r") * F.col("n_r")).over(every)})
+    p = (1 - F.col("p0")) * F.col("_star") / F.sum(F.col("n_r") * F.col("_star")).over(every)
+    return z.select("r", "n_r", p.alias("p"), "p0", "slope", "intercept")
+
+
+def good_turing(freqs: DataFrame, mode: str = "reference") -> dict:
+    """``good_turing_table`` as ``p0``, ``slope``, ``intercept`` and ``p``, the probabilities by r. An empty input has p0 = 0."""
+    rows = good_turing_table(freqs, mode).collect()  # distinct counts only
+    first = rows[0].asDict() if rows else {"p0": 0.0, "slope": 0.0, "intercept": 0.0}
+    return {**{k: first[k] for k in ("p0", "slope", "intercept")}, "p": {r["r"]: r["p"] for r in rows}}
 
 
 def classify(docs: DataFrame, first: DataFrame, second: DataFrame, doc: str, text: str, tokenizer: str = "simple", mode: str = "reference") -> DataFrame:
@@ -122,11 +120,11 @@ def classify(docs: DataFrame, first: DataFrame, second: DataFrame, doc: str, tex
     words = first.select(text).unionByName(second.select(text)).unionByName(docs.select(text)).select(F.explode(tokens(F.col(text), tokenizer)).alias("w"))
     vocabulary = max(words.distinct().count(), 1)
     for corpus in (first, second):
-        counts = trigram_counts(trigrams(corpus, doc, text, tokenizer))
+        counts = cut(trigram_counts(trigrams(corpus, doc, text, tokenizer)))
         m = good_turing(frequency_of_frequencies(counts), mode)
         unseen = max(vocabulary**3 - counts.count(), 1)
-        by_r = F.create_map(*[x for r, p in m["p"].items() for x in (F.lit(r), F.lit(p))]) if m["p"] else None
-        known = counts.select("t1", "t2", "t3", (by_r[F.col("n")] if by_r is not None else F.lit(None).cast("double")).alias("p"))
+        by_r = docs.sparkSession.createDataFrame(list(m["p"].items()), "n bigint, p double")  # a row per distinct count
+        known = counts.join(F.broadcast(by_r), "n").select("t1", "t2", "t3", "p")
         models.append((known, max(m["p0"], 1e-300) / unseen))
     grams = trigram_counts_by_doc(trigrams(docs, doc, text, tokenizer))
     for k, (known, low) in enumerate(models):

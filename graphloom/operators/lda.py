@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 from pyspark.ml.clustering import LocalLDAModel
+from pyspark.ml.feature import CountVectorizerModel
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.operators.dictionary import encode, sorted_dictionary
 from graphloom.session import cut
 
+#: Terms of a model at most.
+MOST_WORDS = 1_000_000
+
 
 def fit(data: DataFrame, size: int, topics: int, iterations: int, seed: int) -> LocalLDAModel:
     """The online variational model of ``features``, vectors of ``size`` words; every iteration is a pass over all rows.
@@ -28,19 +30,17 @@ def fit(data: DataFrame, size: int, topics: int, iterations: int, seed: int) ->
     return LocalLDAModel(new.LocalLDAModel("lda", size, model, spark._jsparkSession))
 
 
-def topic_vectors(bags: DataFrame, topics: int = 100, iterations: int = 20, seed: int = 0) -> DataFrame:
+def topic_vectors(bags: DataFrame, topics: int = 100, iterations: int = 20, seed: int = 0, most_words: int = MOST_WORDS) -> DataFrame:
     """``title``, ``vec``: the topic distribution of each document of ``doc``, ``term``, ``n``; each
-    iteration fits on all documents."""
-    words = cut(sorted_dictionary(bags, "term"))
-    size = max(words.count(), 1)
-
-    @F.udf(VectorUDT())
-    def sparse(pairs):
-        return SparseVector(size, [(p["id"] - 1, float(p["n"])) for p in pairs])
-
-    docs = encode(bags, "term", words, "id").groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("id", "n"))).alias("_w"))
-    data = cut(docs.select("doc", sparse("_w").alias("features")))  # read again by each iteration
-    if data.isEmpty():
-        return data.select(F.col("doc").alias("title"), F.array().cast("array<double>").alias("vec"))
-    model = fit(data, size, topics, iterations, seed)
+    iteration fits on all documents. A model has a column per term, at the driver too, so its vocabulary
+    has a bound: the ``most_words`` terms in most documents, ties in byte order."""
+    words = bags.groupBy("term").agg(F.count("*").alias("df")).orderBy(F.desc("df"), "term").limit(most_words)
+    vocabulary = sorted(r["term"] for r in words.collect())  # at most most_words
+    docs = bags.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("term", "n"))).alias("_w"))
+    each = docs.select("doc", F.flatten(F.transform("_w", lambda s: F.array_repeat(s["term"], s["n"].cast("int")))).alias("words"))
+    if not vocabulary:
+        return docs.select(F.col("doc").alias("title"), F.array().cast("array<double>").alias("vec"))
+    counted = CountVectorizerModel.from_vocabulary(vocabulary, "words", "features").transform(each)
+    data = cut(counted.select("doc", "features"))  # read again by each iteration
+    model = fit(data, len(vocabulary), topics, iterations, seed)
     return model.transform(data).select(F.col("doc").alias("title"), vector_to_array("topicDistribution").alias("vec"))

@@ -131,5 +131,5 @@ def neighbour_features(edges: DataFrame, dabs: DataFrame, seed: int = 0) -> Data
     titles = dabs.select(F.col("title").alias("dab")).distinct()
     sources = e.join(titles, e["dst"] == titles["dab"]).select("dab", "src")
     others = sources.join(e, "src").where("dst <> dab")
-    first = others.groupBy("dab", "src").agg(F.min(F.struct(F.xxhash64(F.lit(seed), "src", "dst").alias("h"), "dst")).alias("_p")).select("dab", "src", F.col("_p.dst").alias("picked"))
+    first = others.groupBy("dab", "src").agg(F.min(F.struct(F.md5(F.concat_ws("\u0001", F.lit(str(seed)), "src", "dst")).alias("h"), "dst")).alias("_p")).select("dab", "src", F.col("_p.dst").alias("picked"))
     return first.join(e.select(F.col("dst").alias("picked"), F.col("src").alias("feature")), "picked").select("dab", "src", "picked", "feature")

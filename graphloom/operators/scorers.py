@@ -273,7 +273,7 @@ def tfidf_in_links(ctx: Context, cases: DataFrame, classes: DataFrame) -> DataFr
     c = classes.select("class_id", "class_idx", "member").distinct()
     e = ctx.edges
     near = c.join(e, c["member"] == e["dst"]).select("class_id", "class_idx", F.col("src").alias("page")).distinct()
-    w = Window.partitionBy("class_id", "class_idx").orderBy(F.xxhash64("page"), "page")
+    w = Window.partitionBy("class_id", "class_idx").orderBy(F.md5("page"), "page")
     near = near.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).drop("_r").unionByName(c.withColumnRenamed("member", "page")).distinct()
     m = cases.select("case_id", "class_id", "src").join(near.withColumnRenamed("page", "member"), "class_id")
     return _best_similarity(m, similarity.cosines(_pairs(m), ctx.weights()))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions.text import tokens
 from graphloom.functions.vectors import jaccard
+from graphloom.session import cut
 
 
 def tfidf(bags: DataFrame, counts: DataFrame, n_docs: int, idf: str = "reference", scaled: bool = True, stop_words: list[str] | None = None) -> DataFrame:
@@ -46,15 +47,20 @@ def jaccards(pairs: DataFrame, docs: DataFrame, doc: str, text: str, tokenizer:
 def neighbour_overlaps(pairs: DataFrame, edges: DataFrame) -> DataFrame:
     """``a``, ``b``, ``size_a``, ``size_b``, ``overlap``: in-link sets of each given pair.
 
-    ``edges`` has distinct ``src``, ``dst``. Sizes are counted per page; for the
-    overlap a pair meets the edges of its first page and the result is matched to
-    the edges of the second, so no set is gathered in a row.
+    ``edges`` has distinct ``src``, ``dst``. Sizes are counted per page. For the overlap a pair meets the in-links
+    of the page with fewer, and what it meets is looked up among those of the other, so a hub is
+    expanded only in pairs of two hubs. Of these in-links only those of asked pages are joined, no set is gathered in a row, and
+    adaptive execution splits the partitions of hubs.
     """
     p = pairs.select("a", "b").distinct()
     n = edges.groupBy("dst").agg(F.count("*").alias("n"))
-    first = edges.select(F.col("dst").alias("a"), F.col("src").alias("_s"))
-    second = edges.select(F.col("dst").alias("b"), F.col("src").alias("_s"))
-    both = p.join(first, "a").join(second, ["b", "_s"]).groupBy("a", "b").agg(F.count("*").alias("_o"))
-    sized = p.join(n.select(F.col("dst").alias("a"), F.col("n").alias("_na")), "a", "left").join(n.select(F.col("dst").alias("b"), F.col("n").alias("_nb")), "b", "left")
     zero = F.lit(0)
-    return sized.join(both, ["a", "b"], "left").select("a", "b", F.coalesce("_na", zero).alias("size_a"), F.coalesce("_nb", zero).alias("size_b"), F.coalesce("_o", zero).alias("overlap"))
+    sized = p.join(n.select(F.col("dst").alias("a"), F.col("n").alias("_na")), "a", "left").join(n.select(F.col("dst").alias("b"), F.col("n").alias("_nb")), "b", "left")
+    sized = cut(sized.select("a", "b", F.coalesce("_na", zero).alias("size_a"), F.coalesce("_nb", zero).alias("size_b")))
+    less = F.col("size_a") <= F.col("size_b")
+    few, many = F.when(less, F.col("a")).otherwise(F.col("b")), F.when(less, F.col("b")).otherwise(F.col("a"))
+    asked = sized.where("size_a > 0 AND size_b > 0").select("a", "b", few.alias("few"), many.alias("many"))
+    near = asked.join(edges.select(F.col("dst").alias("few"), F.col("src").alias("_s")), "few").select("a", "b", "many", "_s")
+    hits = near.join(edges.select(F.col("dst").alias("many"), F.col("src").alias("_s")), ["many", "_s"])
+    both = hits.groupBy("a", "b").agg(F.count("*").alias("_o"))
+    return sized.join(both, ["a", "b"], "left").select("a", "b", "size_a", "size_b", F.coalesce("_o", zero).alias("overlap"))

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions import vectors
 from graphloom.functions.keys import CANONICAL_SQL, PAGE_KEY_SQL, canonical_target, page_keys
-from graphloom.functions.text import normal_label
-from graphloom.functions.wikitext import extract_links, is_redirect, list_lines, redirect_target, split_sections, split_title
+from graphloom.functions.text import LATIN, normal_label
+from graphloom.functions.wikitext import extract_links, is_redirect, links_to_text, list_lines, redirect_target, split_sections, split_title
 from graphloom.operators import counting, dictionary, evaluation, links as L, scorers, similarity, topics
 from graphloom.operators.dirichlet import symmetric_step
 from graphloom.operators.ranking import rank_within
@@ -307,29 +309,46 @@ answers AS (SELECT DISTINCT c.case_id, m.member FROM cases c JOIN classes m USIN
 
 
 class Cases:
-    """Cases, one per page and ambiguous page it links to, and ``classes``, one per candidate;
-    the answer of a case are the candidates that its page links to as well.
+    """Cases, one per page and ambiguous page it links to, and ``classes``, one per candidate.
 
-    The links and their labels are written once and read by every scorer.
+    The links are written once; what else a scorer needs is made when it is asked for.
     """
 
     def __init__(self, spark: SparkSession, d: str, **options) -> None:
+        self.spark, self.d, self.options = spark, d, options
         self.links = cut(links(spark, d).select("link_id", "src", "dst", "labels", "seen_at"))
-        self.labels = cut(labelled(spark, d, self.links).select("src", "dst", "text"))
-        c = cut(L.candidates(self.links, table(spark, d, "dabs")))
-        self.classes = cut(rank_within(c, ["dab"], ["candidate"]).select(F.col("dab").alias("class_id"), (F.col("rank") - 1).cast("int").alias("class_idx"), F.col("candidate").alias("member")))
-        amb = self.labels.join(c.select(F.col("dab").alias("dst")).distinct(), "dst", "left_semi").groupBy(F.col("dst").alias("dab"), "src").agg(F.min("text").alias("text"))
-        found = rank_within(amb, [], ["dab", "src"], "case_id").withColumn("class_id", F.col("dab"))
-        edges = self.links.select(F.col("src").alias("_s"), F.col("dst").alias("_d")).distinct()
+
+    @cached_property
+    def context(self) -> scorers.Context:
+        labels = labelled(self.spark, self.d, self.links).select("src", "dst", "text")
+        return scorers.Context(links=labels, graph=self.links, docs=docs(self.spark, self.d), options=self.options)
+
+    @cached_property
+    def candidates(self) -> DataFrame:
+        return cut(L.candidates(self.links, table(self.spark, self.d, "dabs")))
+
+    @cached_property
+    def classes(self) -> DataFrame:
+        return cut(rank_within(self.candidates, ["dab"], ["candidate"]).select(F.col("dab").alias("class_id"), (F.col("rank") - 1).cast("int").alias("class_idx"), F.col("candidate").alias("member")))
+
+    @cached_property
+    def cases(self) -> DataFrame:
+        ambiguous = self.links.join(self.candidates.select(F.col("dab").alias("dst")).distinct(), "dst", "left_semi")
+        amb = labelled(self.spark, self.d, ambiguous).groupBy(F.col("dst").alias("dab"), "src").agg(F.min("text").alias("text"))
+        return cut(rank_within(amb, [], ["dab", "src"], "case_id").select("case_id", F.col("dab").alias("class_id"), "dab", "src", "text"))
+
+    @cached_property
+    def answered(self) -> DataFrame:
+        """The cases with their answer, ``new_links``: the candidates that the page links to as well; there are no ``old_links``."""
+        edges = self.context.edges.select(F.col("src").alias("_s"), F.col("dst").alias("_d"))
         hit = (F.col("src") == F.col("_s")) & (F.col("member") == F.col("_d"))
-        hits = found.select("case_id", "class_id", "src").join(self.classes, "class_id").join(edges, hit).groupBy("case_id").agg(F.array_sort(F.collect_set("member")).alias("_new"))
+        hits = self.cases.select("case_id", "class_id", "src").join(self.classes, "class_id").join(edges, hit).groupBy("case_id").agg(F.array_sort(F.collect_set("member")).alias("_new"))
         none = F.array().cast("array<string>")
-        self.cases = cut(found.join(hits, "case_id", "left").select("case_id", "class_id", "dab", "src", "text", none.alias("old_links"), F.coalesce("_new", none).alias("new_links")))
-        self.context = scorers.Context(links=self.labels, graph=self.links, docs=docs(spark, d), options=options)
+        return cut(self.cases.join(hits, "case_id", "left").select("case_id", "class_id", "dab", "src", "text", none.alias("old_links"), F.coalesce("_new", none).alias("new_links")))
 
     def score(self, name: str | scorers.Scorer) -> DataFrame:
         f = scorers.SCORERS[name] if isinstance(name, str) else name
-        return f(self.context, self.cases, self.classes)
+        return f(self.context, self.answered if name == "svm" else self.cases, self.classes)
 
 
 def scored(spark: SparkSession, d: str, name: str | scorers.Scorer, **options) -> DataFrame:
@@ -380,6 +399,18 @@ def jaccard_scores(spark: SparkSession, d: str) -> DataFrame:
     return scored(spark, d, "jaccard")
 
 
+LATIN_SQL = f"[{LATIN}]+"
+
+
+@query("latin_jaccard_scores", f"""
+WITH {CASES_SQL}, {DOCS_SQL}, sets AS (SELECT title, list_distinct(regexp_extract_all(text, '{LATIN_SQL}')) AS s FROM docs)
+SELECT case_id, class_idx, round(coalesce(len(list_intersect(x.s, y.s)) / greatest(len(list_distinct(list_concat(x.s, y.s))), 1), 0), 6) AS score
+FROM cases c JOIN classes k USING (class_id) LEFT JOIN sets x ON x.title = c.src LEFT JOIN sets y ON y.title = k.member
+""")
+def latin_jaccard_scores(spark: SparkSession, d: str) -> DataFrame:
+    return scored(spark, d, "jaccard_latin")
+
+
 @query("relatedness", f"""
 WITH {CASES_SQL}, p AS (SELECT DISTINCT src AS a, member AS b FROM cases JOIN classes USING (class_id)),
 n AS (SELECT dst, count(*) AS n FROM edges GROUP BY dst), o AS (SELECT a, b, count(*) AS o FROM p JOIN edges x ON x.dst = a JOIN edges y ON y.dst = b AND y.src = x.src GROUP BY a, b)
@@ -415,7 +446,15 @@ def out_link_scores(spark: SparkSession, d: str) -> DataFrame:
     return scored(spark, d, "out_links")
 
 
-@query("in_link_sample_scores")
+@query("in_link_sample_scores", f"""
+WITH {CASES_SQL}, {TFIDF_SQL}, linked AS (SELECT DISTINCT class_id, class_idx, src AS page FROM classes JOIN edges ON dst = member),
+near AS (
+  SELECT class_id, class_idx, page FROM (SELECT *, row_number() OVER (PARTITION BY class_id, class_idx ORDER BY md5(page), page) AS r FROM linked) WHERE r <= 100
+  UNION SELECT class_id, class_idx, member FROM classes
+), m AS (SELECT case_id, class_idx, src, page FROM cases JOIN near USING (class_id)),
+sims AS (SELECT p.src, p.page, sum(x.w * y.w) AS sim FROM (SELECT DISTINCT src, page FROM m) p JOIN weights x ON x.doc = p.src JOIN weights y ON y.doc = p.page AND y.term = x.term GROUP BY p.src, p.page)
+SELECT case_id, class_idx, round(max(coalesce(sim, 0)), 6) AS score FROM m LEFT JOIN sims USING (src, page) GROUP BY case_id, class_idx
+""")
 def in_link_sample_scores(spark: SparkSession, d: str) -> DataFrame:
     return scored(spark, d, "tfidf_in_links")
 
@@ -454,13 +493,10 @@ WITH {VEC_SQL}, s AS (SELECT vec_id, class, round(sum(x * ln(x / y)), 9) AS div
 SELECT vec_id, class, round(div, 6) AS div FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY div, class) AS r FROM s) WHERE r = 1
 """)
 def lda_nearest_class(spark: SparkSession, d: str) -> DataFrame:
-    """The class with the nearest mean; vectors meet the means dimension by dimension."""
+    """The class with the nearest mean."""
     v, c = _distributions(spark, d)
-    x = v.select("vec_id", F.posexplode("v").alias("i", "x"))
-    y = c.select("class", F.posexplode("c").alias("i", "y"))
-    s = x.join(y, "i").groupBy("vec_id", "class").agg(F.round(F.sum(F.col("x") * F.log(F.col("x") / F.col("y"))), 9).alias("div"))
-    best = s.groupBy("vec_id").agg(F.min(F.struct("div", "class")).alias("_b"))
-    return best.select("vec_id", "_b.class", F.round("_b.div", 6).alias("div"))
+    near = vectors.nearest(v, "vec_id", "v", c, "class", "c")
+    return near.select("vec_id", "class", F.round("div", 6).alias("div"))
 
 
 # Evaluation
@@ -514,7 +550,7 @@ hits AS (SELECT c.case_id, max(b.score) AS score, CAST(coalesce(bool_or(a.member
 
 def hits(spark: SparkSession, d: str, k: int = 1) -> DataFrame:
     c = Cases(spark, d)
-    return evaluation.top_k_hits(evaluation.rank_classes(c.score("baseline")), c.classes, c.cases, k)
+    return evaluation.top_k_hits(evaluation.rank_classes(c.score("baseline")), c.classes, c.answered, k)
 
 
 @query("topk_accuracy", f"WITH {HITS_SQL} SELECT CAST(sum(correct) AS BIGINT) AS correct, count(*) AS total, round(sum(correct) / count(*), 9) AS accuracy FROM hits")
@@ -543,7 +579,7 @@ FROM cases c JOIN classes k USING (class_id) JOIN baseline b ON b.case_id = c.ca
 """)
 def svm_rank_rows(spark: SparkSession, d: str) -> DataFrame:
     c = Cases(spark, d)
-    return evaluation.svm_rank_lines(c.cases, c.classes, [c.score("baseline"), c.score("link_text")])
+    return evaluation.svm_rank_lines(c.answered, c.classes, [c.score("baseline"), c.score("link_text")])
 
 
 # Topic model
@@ -617,16 +653,52 @@ n AS (SELECT doc, dab, pos, cand, count(*) AS n FROM it GROUP BY ALL), last AS (
 SELECT doc, dab, cand, round(n / sum(n) OVER (PARTITION BY doc, dab), 9) AS p FROM n JOIN last USING (doc, dab, pos)
 """)
 def sample_average(spark: SparkSession, d: str) -> DataFrame:
+    return _averages(spark, d).withColumn("p", F.round("p", 9))
+
+
+def _averages(spark: SparkSession, d: str) -> DataFrame:
     samples = None
     for i in range(1, 6):
         s = state(spark, d, i).where("is_amb").withColumn("iteration", F.lit(i))
         samples = s if samples is None else samples.unionByName(s)
-    return topics.average_samples(samples).withColumn("p", F.round("p", 9))
+    return topics.average_samples(samples)
 
 
 HIST_SQL = " UNION ALL ".join(f"SELECT '{k}' AS kind, value, count(*) AS freq FROM (SELECT count(*) AS value FROM assigned GROUP BY {by}) GROUP BY value" for k, by in (("doc", "doc"), ("topic", "topic"), ("article", "w"), ("doc_topic", "doc, topic"), ("article_topic", "w, topic")))
 
 
+# The parts of the state behind what the cases have too.
+MODEL_SQL = "clist AS " + STATE_SQL.split("clist AS ", 1)[1]
+
+
+@query("gibbs_scores", f"""
+WITH {CASES_SQL}, {MODEL_SQL}, it AS (SELECT src AS doc, dst AS dab, link_id * 100 + k AS pos, l[(link_id + k + i) % len(l) + 1] AS cand FROM labelled JOIN clist ON dst = dab, (SELECT unnest(range(1, 6)) AS i)),
+n AS (SELECT doc, dab, pos, cand, count(*) AS n FROM it GROUP BY ALL), last AS (SELECT doc, dab, max(pos) AS pos FROM n GROUP BY doc, dab),
+average AS (SELECT doc AS src, dab, cand AS member, n / sum(n) OVER (PARTITION BY doc, dab) AS p FROM n JOIN last USING (doc, dab, pos))
+SELECT case_id, class_idx, round(CASE WHEN p = 1 THEN 0 ELSE coalesce(p, 0) END, 6) AS score FROM cases c JOIN classes k USING (class_id) LEFT JOIN average a ON a.src = c.src AND a.dab = c.dab AND a.member = k.member
+""")
+def gibbs_scores(spark: SparkSession, d: str) -> DataFrame:
+    c = Cases(spark, d)
+    c.context.samples = _averages(spark, d)
+    return c.score("gibbs").select("case_id", "class_idx", F.round("score", 6).alias("score"))
+
+
+@query("lda_scores", f"""
+WITH {CASES_SQL}, {MODEL_SQL}, n AS (SELECT doc, topic, count(*) AS n FROM assigned GROUP BY doc, topic), whole AS (SELECT doc, sum(n) AS s FROM n GROUP BY doc),
+k AS (SELECT unnest(range({TOPICS})) AS topic), v AS (SELECT doc, topic, (coalesce(n, 0) + 0.02) / (s + 0.02 * {TOPICS}) AS x FROM whole CROSS JOIN k LEFT JOIN n USING (doc, topic)),
+m AS (SELECT case_id, class_idx, k.topic, coalesce(a.x, 1 / {TOPICS}) AS x, CASE WHEN member = dab THEN 1 / {TOPICS} ELSE coalesce(b.x, 1 / {TOPICS}) END AS y
+  FROM cases JOIN classes USING (class_id) CROSS JOIN k LEFT JOIN v a ON a.doc = src AND a.topic = k.topic LEFT JOIN v b ON b.doc = member AND b.topic = k.topic)
+SELECT case_id, class_idx, round(-sum(x * ln(x / y)), 6) + 0 AS score FROM m GROUP BY case_id, class_idx
+""")
+def lda_scores(spark: SparkSession, d: str) -> DataFrame:
+    """By the topics of a page's links, each count smoothed by 0.02, as its vector."""
+    c = Cases(spark, d, length=TOPICS)
+    n = topics.document_topics(state(spark, d)).groupBy("doc").agg(F.map_from_entries(F.collect_list(F.struct("topic", "n"))).alias("_n"))
+    vec = F.transform(F.sequence(F.lit(0), F.lit(TOPICS - 1)), lambda k: F.coalesce(F.element_at("_n", k), F.lit(0)) + F.lit(0.02))
+    c.context.vectors = n.select(F.col("doc").alias("title"), vec.alias("vec"))
+    return c.score("lda").select("case_id", "class_idx", (F.round("score", 6) + 0).alias("score"))
+
+
 @query("param_histograms", f"WITH {STATE_SQL} {HIST_SQL}")
 def param_histograms(spark: SparkSession, d: str) -> DataFrame:
     return topics.length_histograms(cut(state(spark, d)))
@@ -703,7 +775,11 @@ def walk_radius_scores(spark: SparkSession, d: str) -> DataFrame:
     return scored(spark, d, "walk_radius")
 
 
-@query("neighbour_features")
+@query("neighbour_features", f"""
+WITH {LINKS_SQL}, e AS (SELECT DISTINCT src, dst FROM links), s AS (SELECT src, dst AS dab FROM e WHERE dst IN (SELECT title FROM dabs)),
+p AS (SELECT dab, src, e.dst AS picked, row_number() OVER (PARTITION BY dab, src ORDER BY md5(concat_ws(chr(1), '0', src, e.dst)), e.dst) AS r FROM s JOIN e USING (src) WHERE e.dst <> dab)
+SELECT dab, p.src, picked, e.src AS feature FROM p JOIN e ON e.dst = picked WHERE r = 1
+""")
 def neighbour_features(spark: SparkSession, d: str) -> DataFrame:
     return L.neighbour_features(links(spark, d), table(spark, d, "dabs"))
 
@@ -736,10 +812,16 @@ def good_turing_z(spark: SparkSession, d: str) -> DataFrame:
     return counting.averaged_frequencies(counting.frequency_of_frequencies(grams(spark, d))).withColumn("z_r", F.round("z_r", 9))
 
 
-@query("good_turing_model")
+@query("good_turing_model", f"""
+WITH {GRAMS_SQL}, z AS (SELECT r, n_r, 2 * n_r / (coalesce(lead(r) OVER w, 2 * r - lag(r, 1, 0) OVER w) - lag(r, 1, 0) OVER w) AS z_r FROM fof WINDOW w AS (ORDER BY r)),
+line AS (SELECT regr_slope(ln(z_r), ln(r)) AS b, sum(r * n_r) AS total, coalesce(max(n_r) FILTER (r = 1), 0) AS n1 FROM z),
+s AS (SELECT z.r, z.n_r, (z.r + 1) * exp(b * ln(z.r + 1)) / exp(b * ln(z.r)) AS y, (z.r + 1.0) * m.n_r / z.n_r AS x, 1.96 * (z.r + 1) / z.n_r * sqrt(m.n_r * (1 + m.n_r / z.n_r)) AS most FROM z LEFT JOIN z m ON m.r = z.r + 1, line),
+star AS (SELECT r, n_r, CASE WHEN bool_and(coalesce(abs(x - y) < most, false)) OVER (ORDER BY r) THEN x ELSE y END AS v FROM s)
+SELECT r, round((1 - n1 / total) * v / sum(n_r * v) OVER (), 10) AS p, round(n1 / total, 10) AS p0 FROM star, line
+""")
 def good_turing_model(spark: SparkSession, d: str) -> DataFrame:
-    m = counting.good_turing(counting.frequency_of_frequencies(grams(spark, d)))
-    return spark.createDataFrame([(r, p, m["p0"]) for r, p in m["p"].items()], "r bigint, p double, p0 double")
+    m = counting.good_turing_table(counting.frequency_of_frequencies(grams(spark, d)))
+    return m.select("r", F.round("p", 10).alias("p"), F.round("p0", 10).alias("p0"))
 
 
 LINK_SQL = r"\[\[([^\[\]|]+)(?:\|([^\[\]]*))?\]\]([a-z]*)"
@@ -758,6 +840,49 @@ def wiki_links(spark: SparkSession, d: str) -> DataFrame:
     return extract_links(table(spark, d, "revisions").dropDuplicates(["id"]), "id", "text")
 
 
+PLACED_SQL = rf"""keyed AS ({PAGE_KEY_SQL}), langs AS (SELECT DISTINCT lang FROM namespaces),
+names AS (SELECT DISTINCT lang, ns_id, lower(name) AS name FROM namespaces WHERE name <> ''),
+r AS (SELECT key, text FROM (SELECT DISTINCT id, page_id, text FROM revisions WHERE text IS NOT NULL) x JOIN (SELECT DISTINCT id, key FROM keyed WHERE key IS NOT NULL) k ON x.page_id = k.id),
+m AS (SELECT key, text, unnest(regexp_extract_all(text, '{LINK_SQL}')) AS raw, generate_subscripts(regexp_extract_all(text, '{LINK_SQL}'), 1) - 1 AS pos FROM ({{rows}})),
+p AS (SELECT key, text, pos, raw, {UNESCAPE_SQL.format(f"regexp_extract(raw, '{LINK_SQL}', 1)")} AS target, {UNESCAPE_SQL.format(f"regexp_extract(raw, '{LINK_SQL}', 2)")} AS shown, regexp_extract(raw, '{LINK_SQL}', 3) AS trail FROM m),
+q AS (SELECT *, starts_with(trim(target), ':') AS colon, trim(regexp_replace(regexp_replace(regexp_replace(target, '^\s*:', ''), '#.*', '', 's'), '[\s_]+', ' ', 'g')) AS t0 FROM p),
+t AS (SELECT *, split_part(key, ':', 1) AS own, upper(substr(t0, 1, 1)) || substr(t0, 2) AS title FROM q),
+d AS (SELECT *, trim(regexp_replace(CASE WHEN instr(raw, '|') = 0 THEN target WHEN trim(shown) = '' THEN trim(regexp_replace(regexp_replace(title, '^[^:]*:', ''), '\s*\([^()]*\)$', '')) ELSE shown END || trail, '\s+', ' ', 'g')) AS display,
+  CASE WHEN lower(split_part(title, ':', 1)) IN (SELECT lang FROM langs) THEN title ELSE own || ':' || title END AS whole FROM t),
+f AS (SELECT *, substr(whole, instr(whole, ':') + 1) AS rest, CASE WHEN instr(whole, ':') > 0 AND lower(split_part(whole, ':', 1)) IN (SELECT lang FROM langs) THEN lower(split_part(whole, ':', 1)) END AS language FROM d),
+g AS (SELECT f.*, coalesce(n.ns_id, 0) AS namespace_id, trim(regexp_replace(CASE WHEN n.ns_id IS NOT NULL THEN substr(rest, instr(rest, ':') + 1) WHEN f.language IS NOT NULL THEN rest ELSE whole END, '[\s_]+', ' ', 'g')) AS short0
+  FROM f LEFT JOIN names n ON f.language = n.lang AND instr(rest, ':') > 0 AND lower(split_part(rest, ':', 1)) = n.name),
+placed AS (SELECT *, upper(substr(short0, 1, 1)) || substr(short0, 2) AS short_title, NOT colon AND (language IS DISTINCT FROM own OR namespace_id IN (6, 14)) AS hidden FROM g)"""
+#: Links with what stands before each, its length and that of what the link shows.
+SHOWN_SQL = PLACED_SQL.replace("{rows}", "SELECT DISTINCT * FROM r") + rf""",
+pieces AS (SELECT key, text, pos, display, hidden, regexp_split_to_array(text, '{LINK_SQL}') AS between FROM placed),
+lengths AS (SELECT *, CASE WHEN hidden THEN '' ELSE display END AS out FROM pieces)"""
+
+
+@query("link_offsets", f"""
+WITH {SHOWN_SQL} SELECT key, pos, sum(length(between[pos + 1]) + length(out)) OVER (PARTITION BY key, text ORDER BY pos) - length(out) AS "offset", out AS display, hidden FROM lengths
+""")
+def link_offsets(spark: SparkSession, d: str) -> DataFrame:
+    """Where each link stands in the text in which links are replaced by what they show."""
+    x = _shown(spark, d).select(F.col("page").alias("key"), F.posexplode("links").alias("pos", "_l"))
+    return x.select("key", F.col("pos").cast("bigint").alias("pos"), F.col("_l.offset").cast("bigint").alias("offset"), "_l.display", "_l.hidden")
+
+
+@query("linkless_texts", f"""
+WITH {SHOWN_SQL}, joined AS (SELECT key, text, string_agg(between[pos + 1] || out, '' ORDER BY pos) || max(between[len(between)]) AS t FROM lengths GROUP BY key, text)
+SELECT key, coalesce(t, text) AS text FROM (SELECT DISTINCT * FROM r) LEFT JOIN joined USING (key, text)
+""")
+def linkless_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Every text with links replaced by what they show."""
+    return _shown(spark, d).select(F.col("page").alias("key"), "text")
+
+
+def _shown(spark: SparkSession, d: str) -> DataFrame:
+    keyed = page_keys(table(spark, d, "pages"), table(spark, d, "namespaces"), "id").distinct().withColumnRenamed("id", "page_id")
+    r = table(spark, d, "revisions").dropDuplicates(["id"]).join(keyed, "page_id").select("key", "text")
+    return links_to_text(r, "key", "text", table(spark, d, "namespaces"))
+
+
 @query("wiki_redirects", r"""
 WITH r AS (SELECT DISTINCT id, regexp_extract(text, '(?is)\A\s*#REDIRECT\s*\[\[(.*?)\]\]', 1) AS target FROM revisions WHERE regexp_matches(text, '(?is)\A\s*#REDIRECT\s*\[\[(.*?)\]\]')) SELECT id, target FROM r
 """)
@@ -766,7 +891,15 @@ def wiki_redirects(spark: SparkSession, d: str) -> DataFrame:
     return r.select("id", redirect_target(F.col("text")).alias("target")).distinct()
 
 
-@query("wiki_sections")
+@query("wiki_sections", r"""
+WITH r AS (SELECT DISTINCT id, text FROM revisions WHERE text IS NOT NULL), l AS (SELECT id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM r),
+h AS (SELECT *, regexp_matches(line, '^={2,6}[ \t]*[^\n]*?[^=\n][ \t]*={2,6}[ \t\r]*$') AS head FROM l),
+n AS (SELECT *, CAST(count(*) FILTER (head) OVER (PARTITION BY id ORDER BY i) AS BIGINT) AS pos FROM h),
+every AS (SELECT DISTINCT id, pos FROM n UNION SELECT id, 0 FROM r)
+SELECT id, pos, coalesce(length(max(regexp_extract(line, '^(={2,6})[ \t]*([^\n]*?[^=\n])[ \t]*={2,6}[ \t\r]*$', 1)) FILTER (head)), 0)::INT AS level,
+  trim(max(regexp_extract(line, '^(={2,6})[ \t]*([^\n]*?[^=\n])[ \t]*={2,6}[ \t\r]*$', 2)) FILTER (head)) AS title, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT head), '') AS text
+FROM every LEFT JOIN n USING (id, pos) GROUP BY id, pos
+""")
 def wiki_sections(spark: SparkSession, d: str) -> DataFrame:
     return split_sections(table(spark, d, "revisions").where("text IS NOT NULL").dropDuplicates(["id"]), "id", "text")
 

@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions.text import normal_label
-from graphloom.functions.wikitext import LONGEST_TITLE, admitted_links, dab_template, extract_links, is_redirect, list_lines, redirect_target, resolve_titles, split_title, strip_wiki_column
+from graphloom.functions.wikitext import LONGEST_TITLE, admitted_links, dab_template, extract_links, is_redirect, links_to_text, list_lines, redirect_target, resolve_titles, split_title, strip_wiki_column
 from graphloom.operators import counting, dictionary, evaluation, links as L, scorers, topics
 from graphloom.operators.lda import topic_vectors
 from graphloom.operators.ranking import rank_within
 from graphloom.operators.walk import exact_walks
+from graphloom.session import cut
 from graphloom.sources import dump
 
 
@@ -62,10 +63,12 @@ def extract(c: Catalog, templates: list[str]) -> None:
 
 
 def extract_plain_text(c: Catalog) -> None:
-    """``plain_text`` (title, text): pages of the main namespace that are no redirects."""
+    """``plain_text`` (title, text) and ``plain_text_links`` (title, offset, dst, display, hidden): pages of the main
+    namespace that are no redirects, links replaced by what they show."""
     pages = split_title(c.read("pages").where("text IS NOT NULL"), "title", _names(c)).where("namespace_id = 0").where(~is_redirect(F.col("text")))
-    text = F.regexp_replace(strip_wiki_column(F.col("text")), r"\[\[(?:[^\[\]|]*\|)?([^\[\]]*)\]\]", "$1")
-    c.write("plain_text", pages.select("title", text.alias("text")), "title")
+    found = cut(links_to_text(pages.select("title", strip_wiki_column(F.col("text")).alias("text")), "title", "text", _names(c).where("name IS NOT NULL")))
+    c.write("plain_text", found.select(F.col("page").alias("title"), "text"), "title")
+    c.write("plain_text_links", found.select(F.col("page").alias("title"), F.explode("links").alias("_l")).select("title", "_l.*"), "title", "offset")
 
 
 def fix_links(c: Catalog) -> None:
@@ -147,12 +150,13 @@ def run_lda(c: Catalog, k: int = 100, iterations: int = 20) -> None:
 
 
 def generate_evaluation(c: Catalog, newer: Catalog) -> None:
-    """``cases`` and ``classes`` from links replaced between two snapshots; the classes are the newer one's."""
+    """``cases`` and ``classes`` from links replaced between two snapshots; the classes are the newer one's. A case
+    is a page, an ambiguous page it linked to and a label of that link; links without one have a case with a null label."""
     lists = newer.read("dab_lists")
     found = evaluation.replaced_links(c.read("fixed_links"), newer.read("fixed_links"), lists)
-    labels = c.read("fixed_links").select(F.col("src"), F.col("dst").alias("dab"), F.get("labels", F.lit(0)).alias("_l"))
-    found = found.join(labels, ["src", "dab"], "left").withColumn("text", normal_label(F.col("_l"))).drop("_l").withColumn("class_id", F.col("dab"))
-    c.write("cases", rank_within(found, [], ["dab", "src"], "case_id"), "case_id")
+    labels = L.exploded_labels(c.read("fixed_links"), "src", "dst").withColumnRenamed("dst", "dab").distinct()
+    found = found.join(labels, ["src", "dab"], "left").withColumn("class_id", F.col("dab"))
+    c.write("cases", rank_within(found, [], ["dab", "src", "text"], "case_id"), "case_id")
     ranked = rank_within(lists, ["dab"], ["candidate"]).select(F.col("dab").alias("class_id"), (F.col("rank") - 1).cast("int").alias("class_idx"), F.col("candidate").alias("member"))
     c.write("classes", ranked, "class_id", "class_idx")
 

@@ -9,6 +9,7 @@ from graphloom.functions.keys import CANONICAL_SQL, page_keys
 from graphloom.functions.text import without_comments, without_language
 from graphloom.functions.wikitext import admitted_links, dab_template, evaluate, expand_templates, extract_links, is_redirect, split_title, strip_wiki_column
 from graphloom.operators import counting
+from graphloom.plans.graph import PLACED_SQL
 from graphloom.registry import Registry
 from graphloom.session import cut
 from graphloom.sources.dump import DEFAULT_NAMESPACES, NAMESPACE_ALIASES, effective_namespaces
@@ -44,7 +45,9 @@ def dab_pages(spark: SparkSession, d: str) -> DataFrame:
     return _texts(spark, d).select("id", found.alias("template")).where("template IS NOT NULL")
 
 
-@query("admitted_links")
+@query("admitted_links", f"""WITH {PLACED_SQL.replace("{rows}", "SELECT * FROM r")}
+SELECT key, pos, language, namespace_id, short_title, display FROM placed WHERE (colon OR (language = own AND namespace_id NOT IN (6, 14))) AND length(short_title) <= 255
+""")
 def admitted(spark: SparkSession, d: str) -> DataFrame:
     """The links of each page's latest texts that lead to articles of its own language."""
     pages = page_keys(table(spark, d, "pages"), table(spark, d, "namespaces"), "id").distinct()
