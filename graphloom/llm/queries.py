@@ -83,11 +83,17 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return top.select(F.col("group").alias("field"), "key")
 
 
-@query("p5_top_counts")
+@query("p5_top_counts", f"""
+WITH {FIELDS_SQL}
+SELECT field, key, n FROM (
+  SELECT field, key, count(*) AS n, row_number() OVER (PARTITION BY field ORDER BY count(*) DESC, key) AS r
+  FROM fields WHERE key IS NOT NULL GROUP BY field, key
+) WHERE r <= 100
+""")
 def p5_top_counts(spark: SparkSession, d: str) -> DataFrame:
-    """Bounds of the counts of the hundred most frequent targets and labels."""
+    """The counts of the hundred most frequent targets and labels; the sketch's bounds of them differ by its split."""
     top = frequent.top_values(link_fields(table(spark, d, "links_raw")), "field", "key", 100)
-    return top.select(F.col("group").alias("field"), "key", "low", "high", "n")
+    return top.select(F.col("group").alias("field"), "key", "n")
 
 
 MARKS_SQL = f"""WITH {TERMS_SQL},
