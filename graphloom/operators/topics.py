@@ -10,7 +10,7 @@ rows that need them; only the totals of the topics are broadcast.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from graphloom.operators.dirichlet import fit, fit_symmetric
-from graphloom.session import cut
+from graphloom.session import cut, discard
 
 #: Rows of one document that are sampled in turn; longer documents are dealt to several tasks.
 BLOCK = 5000
@@ -288,21 +288,26 @@ def refit(state: DataFrame, params: Params) -> Params:
     return Params(params.topics, alpha, fit_symmetric(params.beta, max(v, 1), h.get("topic", {}), h.get("article_topic", {})) or params.beta, fit_symmetric(params.gamma, max(t, 1), h.get("article", {}), texts) or params.gamma)
 
 
-def train(links: DataFrame, candidates: DataFrame, params: Params, iterations: int, seed: int = 0, keep_rate: int = 10, refit_from: int = 50, by: str = "target") -> tuple[DataFrame, DataFrame, Params]:
+def train(links: DataFrame, candidates: DataFrame, params: Params, iterations: int, seed: int = 0, keep_rate: int = 10, refit_from: int = 50, by: str = "target", state: DataFrame | None = None, after: int = 0, keep: Callable[[int, DataFrame, Params], None] | None = None) -> tuple[DataFrame, DataFrame, Params]:
     """The last state, the kept samples with ``iteration``, and the parameters.
 
-    Every state is written to the shared folder; every ``keep_rate``-th one is kept,
-    and from ``refit_from`` on the parameters are fitted at each tenth.
+    Every state is written to the shared folder and removed when the next one is there; of every
+    ``keep_rate``-th one the ambiguous rows are kept and ``keep`` is called, and from ``refit_from`` on the
+    parameters are fitted at each tenth. With ``state``, that of iteration ``after``, the training goes on from
+    there as if it had never stopped.
     """
-    state = cut(initial(links, candidates, params.topics, seed, by))
+    state = cut(initial(links, candidates, params.topics, seed, by) if state is None else state)
     sizes, kept = vocabulary(state), None
-    for i in range(1, iterations + 1):
-        state = cut(sweep(state, candidates, params, i, seed, by, sizes))
+    for i in range(after + 1, iterations + 1):
+        before, state = state, cut(sweep(state, candidates, params, i, seed, by, sizes))
+        discard(before)
         if i >= refit_from and i % 10 == 0:
             params = refit(state, params)
         if i % keep_rate == 0 or i == iterations:
-            s = state.where("is_amb").withColumn("iteration", F.lit(i))
+            s = cut(state.where("is_amb").withColumn("iteration", F.lit(i)))
             kept = s if kept is None else kept.unionByName(s)
+            if keep is not None:
+                keep(i, state, params)
     if kept is None:
         kept = state.where("is_amb").withColumn("iteration", F.lit(0))
     return state, kept, params

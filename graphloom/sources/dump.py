@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from graphloom.operators.ranking import rank_within
 
+#: Fixed value: how dump files are named.
 DUMP_NAME = r"([a-z]+)wiki-(\d+)-pages-articles\.xml"
 #: Namespaces every wiki has, by id, where a dump names none.
 DEFAULT_NAMESPACES = {-2: "Media", -1: "Special", 0: "", 1: "Talk", 2: "User", 3: "User talk", 4: "Project", 5: "Project talk", 6: "File", 7: "File talk", 8: "MediaWiki", 9: "MediaWiki talk", 10: "Template", 11: "Template talk", 12: "Help", 13: "Help talk", 14: "Category", 15: "Category talk"}
@@ -82,6 +83,11 @@ def lookup(df: DataFrame, key: str, *values: str) -> DataFrame:
     return df.where(F.col(key).isin(*values))
 
 
+def lookup_prefix(df: DataFrame, key: str, prefix: str) -> DataFrame:
+    """The rows whose key begins with ``prefix``; of files sorted by the key only those row groups are read."""
+    return df.where(F.col(key).startswith(prefix))
+
+
 def write_lines(df: DataFrame, line: str, path: str) -> None:
     """One text line per row; refuses to overwrite."""
     df.select(line).write.mode("errorifexists").text(path)

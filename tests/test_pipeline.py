@@ -35,7 +35,7 @@ def catalogs(spark, tmp_path_factory):
         root = tmp_path_factory.mktemp(name)
         pages = dict(PAGES)
         if name == "new":
-            pages["Thermometer"] = "Made of [[Mercury (metal)|Mercury]] or [[quicksilver]]."
+            pages["Thermometer"] = "Made of [[Mercury (planet)|Mercury]] or [[quicksilver]]."
         write_dump(root, pages)
         c = p.Catalog(spark, str(root / "catalog"))
         p.build_database(c, str(root))
@@ -80,6 +80,68 @@ def test_model_and_evaluation(catalogs):
     assert p.evaluate(c, "baseline").first()["total"] == len(case)
 
 
+def test_commands(catalogs, tmp_path, capsys):
+    from graphloom.__main__ import main
+
+    c, newer = catalogs
+    run = lambda *a: (main([a[0], c.root, *a[1:]]), capsys.readouterr().out.splitlines())[1]
+    run("decompress_links")
+    assert rows(c.read("decompressed_links")) == rows(c.read("link_rows").select("doc", "pos", "is_amb", "target", "text"))
+    links = {r["title"]: r for r in c.read("plain_text_links").where("hidden").collect()}
+    assert links["en:Sun"]["display"] == "" and "Category" not in dict(rows(c.read("plain_text")))["en:Sun"].replace(":Category", "")
+    assert run("show", "--relation", "pages", "--key", "title", "--values", "en:Merc", "--prefix")[0].startswith("en:Merc")
+    assert run("show", "--relation", "out_links", "--key", "node", "--values", "en:Mercury (metal)")[0].split("\t")[0] == "en:Mercury (metal)"
+    assert run("list_languages") == ["en"]
+    assert [x.split("\t")[0] for x in run("class_counts", "--dab", "en:Mercury")] == ["en:Mercury (metal)", "en:Mercury (planet)"]
+    assert run("class_counts", "--text", "sun") == ["en:Sun\t2"]
+    run("print_plain_text", "--out", str(tmp_path / "bags"))
+    assert all(r["value"].startswith("| ") for r in c.spark.read.text(str(tmp_path / "bags")).collect())
+    run("generate_svm_training")
+    (tmp_path / "v.txt").write_text("".join(f"{i} 0.5 0.5\n" for i in range(c.read("plain_text").count())))
+    run("save_lda", "--vectors", str(tmp_path / "v.txt"), "--skip-first")
+    assert rows(c.read("topic_vectors").select("vec").distinct()) == [([0.5, 0.5],)]
+    run("generate_evaluation", "--newer", newer.root)
+    n = c.read("cases").count()
+    assert n == 1 and c.read("cases").first()["text"] == "mercury"
+    assert run("evaluate", "--scorer", "baseline", "--roc", str(tmp_path / "roc"))[0].split("\t")[1] == str(n)
+    assert [len(r["value"].split("\t")) for r in c.spark.read.text(str(tmp_path / "roc")).collect()] == [2] * n
+    for _ in range(2):
+        run("write_scores", "--scorers", "baseline", "link_text", "--out", str(tmp_path / "scores"))
+    assert c.spark.read.json(str(tmp_path / "scores")).count() == 2 * n * 2
+    run("write_svm_rank", "--scorers", "baseline", "--out", str(tmp_path / "svm"))
+    assert c.spark.read.text(str(tmp_path / "svm")).first()["value"][1:7] == " qid:1"
+    newer_index = p.index_link_text
+    p.compress_links(newer)
+    newer_index(newer)
+    run("generate_link_text_evaluation", "--newer", newer.root)
+    assert {r["class_id"] for r in c.read("cases").collect()} <= {r["class_id"] for r in c.read("classes").collect()}
+
+
+def test_sampler_goes_on_where_it_stopped(catalogs, tmp_path):
+    import os
+
+    c = p.Catalog(catalogs[0].spark, str(tmp_path / "c"))
+    for name in ("link_rows", "dab_lists", "label_index"):
+        c.write(name, catalogs[0].read(name), *catalogs[0].read(name).columns[:1])
+    p.sample(c, topics.Params(2), 4, keep_rate=2)
+    whole = rows(c.read("state"))
+    p.sample(c, topics.Params(2), 4, keep_rate=2, resume=2)
+    assert rows(c.read("state")) == whole
+    assert sorted(r["iteration"] for r in c.read("states").select("iteration").distinct().collect()) == [2, 4]
+    p.average(c, 4, 4)
+    assert all(r["p"] == 1 for r in c.read("sample_average").collect())
+    p.posterior(c)
+    assert all(0 < r["p"] <= 1 for r in c.read("sampler_results").collect())
+    with pytest.raises(ValueError):
+        p.sample(c, topics.Params(2), 1)
+    d = p.Catalog(c.spark, str(tmp_path / "d"))
+    for name in ("link_rows", "dab_lists", "label_index"):
+        d.write(name, c.read(name), *c.read(name).columns[:1])
+    p.sample(d, topics.Params(2), 1, by="text", limit=2)
+    assert d.read("state").select("doc").distinct().count() == 2
+    assert os.path.isdir(d.root + "/states/iteration=1")
+
+
 def test_readers_and_sinks(spark, tmp_path):
     (tmp_path / "v.txt").write_text("a 0.5 0.5\nb 1 0\n")
     labels = spark.createDataFrame([(0, "x"), (1, "y"), (2, "z")], "pos int, title string")
