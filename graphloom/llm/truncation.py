@@ -128,16 +128,22 @@ def _goes_on(rest: str = "rest") -> list[Column]:
 
 
 def _short_copies(df: DataFrame, text: str, least: int) -> DataFrame:
-    t = df.where((F.length(text) > 0) & (F.length(text) < least)).select(F.length(text).alias("n"), F.xxhash64(text).alias("h"))
+    begin = lambda c, n: F.xxhash64(F.substring(c, F.lit(1), n))
+    power = lambda k: F.pow(F.lit(2), k).cast("int")
+    level = F.floor(F.log2(F.length(text))).cast("int")
+    t = df.where((F.length(text) > 0) & (F.length(text) < least)).select(F.length(text).alias("n"), F.xxhash64(text).alias("h"), level.alias("k"), begin(text, power(level)).alias("p"))
     t = cut(t.distinct())
-    lengths = sorted(r["n"] for r in t.select("n").distinct().collect())  # below least
-    longer = df.where(F.length(text) > 1).select(F.col(text).alias("text"))
-    longer = longer.select("text", F.explode(F.filter(F.array(*map(F.lit, lengths)).cast("array<int>"), lambda n: n < F.length("text"))).alias("n"))
-    begun = longer.select("n", F.xxhash64(F.expr("substring(text, 1, n)")).alias("h"), F.expr("substring(text, n + 1, 8)").alias("rest"))
-    if t.count() <= MOST_HASHES:
-        begun = begun.join(F.broadcast(t), ["n", "h"], "left_semi")
-    found = begun.select("n", "h", "rest", *_goes_on()).groupBy("n", "h").agg(F.min("rest").alias("rest"), *[F.max(c).alias(c) for c in ("word", "digit", "more")])
-    return found.join(t, ["n", "h"], "left_semi").select("h", "rest", "word", "digit", "more")
+    few = t.count() <= MOST_HASHES
+    sent = F.broadcast if few else lambda x: x
+    # Beginnings of 1, 2, 4, ... characters tell which lengths a text has to be looked up by.
+    lengths = sent(t.groupBy("k", "p").agg(F.collect_set("n").alias("_lengths")))
+    d = df.where(F.length(text) > 1).select(F.length(text).alias("_n"), F.substring(text, 1, least + 8).alias("_head"))
+    levels = F.filter(F.sequence(F.lit(0), F.lit(least.bit_length() - 1)), lambda k: power(k) < F.col("_n"))
+    d = d.withColumn("_k", F.explode(levels)).withColumn("_p", begin("_head", power(F.col("_k"))))
+    near = d.join(lengths, (F.col("_k") == F.col("k")) & (F.col("_p") == F.col("p"))).withColumn("_at", F.explode(F.filter("_lengths", lambda n: n < F.col("_n"))))
+    begun = near.select(F.col("_at").alias("n"), begin("_head", F.col("_at")).alias("h"), F.substring("_head", F.col("_at") + 1, F.lit(8)).alias("rest"))
+    begun = begun.join(sent(t.select("n", "h")), ["n", "h"], "left_semi")
+    return begun.select("h", "rest", *_goes_on()).groupBy("h").agg(F.min("rest").alias("rest"), *[F.max(c).alias(c) for c in ("word", "digit", "more")])
 
 
 def _long_copies(df: DataFrame, text: str, least: int) -> DataFrame:
