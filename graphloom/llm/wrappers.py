@@ -2,19 +2,21 @@
 
 Pages are parsed into trees; trees of the same host are aligned by simple tree
 matching, the largest order-preserving matching of nodes whose parents match. A template is
-the alignment of a few pages of the host, those with the smallest hashes, so it is the same for any
-order and split of the pages. All pages are then aligned with it, and every text is counted
-exactly by its place: its slot of the template, or, where the template has none, the slot above it and the
-tags between. A text that stays the same in its place on enough pages is template, whatever
-the few pages had; the slots and places that vary are content.
+the alignment of all pages of the host, in an order of hashes, so it is the same for any
+order and split of the pages. Pages are aligned in runs, and the results of these in runs again; each keeps the
+nodes that may be on ``SHARE`` of its pages. A node that is below that share in every run is below it in all. All pages
+are then aligned with the template, and every text is counted exactly by its place: its slot of the template, or,
+where the template has none, the slot above it and the tags between. A text that stays the same in its place on
+enough pages is template; the slots and places that vary are content.
 """
 
 from __future__ import annotations
 
 import html
 import json
+import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, KeysView
 
 import numpy as np
 import pandas as pd
@@ -23,7 +25,6 @@ import regex
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from graphloom.session import cut
 
@@ -31,8 +32,10 @@ from graphloom.session import cut
 VOID = {"br", "hr", "img", "input", "meta", "link", "area", "base", "col", "embed", "source", "track", "wbr"}
 #: Elements that one of their kind closes.
 CLOSED_BY = {"li": {"li"}, "p": {"p", "div", "ul", "ol", "table", "h1", "h2", "h3", "h4", "h5", "h6", "pre"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}}
-#: Pages of a host that its template is made of.
-SEEDS = 5
+#: Trees aligned with each other before nodes too rare for a template are left out.
+RUN = 16
+#: Pages of a host that a task aligns, about; and templates that one makes of the next.
+PART, FAN = 256, 64
 #: Elements nested deeper are siblings of each other; their texts are kept.
 DEEPEST = 200
 #: Templates of so many characters in all are broadcast.
@@ -44,44 +47,69 @@ MOST_CELLS = 4_000_000
 #: A task sums the counts of so many texts before it passes them on.
 MOST_COUNTS = 100_000
 
+#: The shape of a text.
+TEXT = xxhash.xxh3_64_intdigest("#")
+
 _token = regex.compile(r"<!--.*?(?:-->|\Z)|<(?P<close>/?)(?P<tag>[a-zA-Z][\w-]*)\b[^<>]*?(?P<void>/?)>|(?P<text>[^<]+|<)", regex.S)
 
 
 class Node:
-    """An element, or a text where ``tag`` is '#'; ``n`` of the pages merged have it, with these ``texts``.
+    """An element, or a text where ``tag`` is '#'; at most ``n`` of the pages merged have it. A page's has its ``texts``.
 
-    ``shape`` tells trees of different structure apart, and ``whole`` has a hash of the whole tree, with its
-    texts, for each page merged.
+    ``shape`` tells trees of different structure apart, and ``on`` has hashes of the whole tree, with its
+    texts, each with the number of pages that have it at most.
     """
 
-    __slots__ = ("tag", "texts", "kids", "n", "shape", "whole")
+    __slots__ = ("tag", "texts", "kids", "n", "shape", "on")
 
     def __init__(self, tag: str, text: str | None = None, n: int = 1) -> None:
         self.tag, self.n = tag, n
-        self.texts: set[str] = set() if text is None else {text}
+        self.texts: set[str | int] = set() if text is None else {text}
         self.kids: list[Node] = []
         self.shape = 0
-        self.whole: set[int] = set()
+        self.on: dict[int, int] = {}
+
+    @property
+    def whole(self) -> KeysView[int]:
+        return self.on.keys()
 
     def pack(self) -> list:
-        return [self.tag, sorted(self.texts), self.n, sorted(self.whole), [k.pack() for k in self.kids]]
+        return [self.tag, self.n, sorted(self.on.items()), [k.pack() for k in self.kids]]
 
     @classmethod
     def unpack(cls, x: list) -> Node:
-        node = cls(x[0], n=x[2])
-        node.texts, node.whole, node.kids = set(x[1]), set(x[3]), [cls.unpack(k) for k in x[4]]
+        node = cls(x[0], n=x[1])
+        node.on, node.kids = dict(x[2]), [cls.unpack(k) for k in x[3]]
         node.shape = node.shaped()
         return node
 
+    def bones(self) -> list | int:
+        """A page's tags, with a hash in place of each text."""
+        return text_hash(next(iter(self.texts))) if self.tag == "#" else [self.tag, *[k.bones() for k in self.kids]]
+
+    @classmethod
+    def of_bones(cls, x: list | int, n: int) -> Node:
+        """The tree of ``n`` equal pages; its texts are hashes."""
+        if isinstance(x, int):
+            node = cls("#", n=n)
+            node.texts, node.shape, node.on = {x}, TEXT, {x: n}
+            return node
+        node = cls(x[0], n=n)
+        node.kids = [cls.of_bones(k, n) for k in x[1:]]
+        node.shape, node.on = node.shaped(), {node.wholly(): n}
+        return node
+
     def shaped(self) -> int:
-        return xxhash.xxh3_64_intdigest(f"{self.tag} {[k.shape for k in self.kids]}")
+        return TEXT if self.tag == "#" else xxhash.xxh3_64_intdigest(f"{self.tag} {[k.shape for k in self.kids]}")
+
+    def wholly(self) -> int:
+        return text_hash(next(iter(self.texts))) if self.tag == "#" else xxhash.xxh3_64_intdigest(f"{self.tag} {[h for k in self.kids for h in k.on]}")
 
     def sign(self) -> None:
-        """Sets ``shape`` and ``whole`` of a page's node and all below it."""
+        """Sets ``shape`` and ``on`` of a page's node and all below it."""
         for k in self.kids:
             k.sign()
-        self.shape = self.shaped()
-        self.whole = {xxhash.xxh3_64_intdigest(f"{self.tag} {sorted(self.texts)} {[sorted(k.whole) for k in self.kids]}")}
+        self.shape, self.on = self.shaped(), {self.wholly(): 1}
 
     def below(self) -> Iterator[Node]:
         """All nodes but itself, parents before their kids."""
@@ -90,8 +118,19 @@ class Node:
             yield from k.below()
 
 
+def text_hash(text: str) -> int:
+    return xxhash.xxh3_64_intdigest(text, 1)
+
+
 def parse(page: str) -> Node:
     """The tree of a page; unclosed elements end with their parent."""
+    root = parse_unsigned(page)
+    root.sign()
+    return root
+
+
+def parse_unsigned(page: str) -> Node:
+    """The tree of a page that is not to be aligned."""
     root = Node("#root")
     open_ = [root]
     for m in _token.finditer(page):
@@ -116,7 +155,6 @@ def parse(page: str) -> Node:
             open_[-1].kids.append(node)
             if not m["void"] and tag not in VOID and len(open_) < DEEPEST:
                 open_.append(node)
-    root.sign()
     return root
 
 
@@ -222,43 +260,69 @@ def _align(x: list[Node], y: list[Node]) -> list[tuple[Node | None, Node | None]
     return out[::-1]
 
 
-def merge(t: Node, p: Node) -> None:
-    """Folds the root of a page or template ``p`` into that of the template ``t``."""
+def merge(t: Node, p: Node, rest: int = 0, more: int = 0) -> None:
+    """Folds the root of a page or template ``p`` into that of the template ``t``. A node that ``t`` lacks may
+    be on ``rest`` of its pages, one that ``p`` lacks on ``more`` of its."""
     t.n += p.n
-    t.texts |= p.texts
-    t.whole |= p.whole
+    t.on = {h: t.on.get(h, rest) + p.on.get(h, more) for h in t.on | p.on}
     kids = []
     for a, b in align(t.kids, p.kids):
         if a is not None and b is not None:
-            merge(a, b)
+            merge(a, b, rest, more)
+        elif a is not None:
+            _add(a, more)
+        else:
+            _add(b, rest)
         kids.append(a if a is not None else b)
     t.kids = kids
     t.shape = t.shaped()
 
 
-def template(pages: list[str]) -> Node:
-    """The alignment of these pages in the order given. Of three or more pages only nodes that two
-    of them have are kept: others can't tell pages apart, and their texts are counted by place all the same."""
-    root = parse(pages[0])
-    for p in pages[1:]:
-        merge(root, parse(p))
-    if len(pages) > 2:
-        _thin(root)
-    return root
+def _add(t: Node, n: int) -> None:
+    if n:
+        for k in (t, *t.below()):
+            k.n += n
+            k.on = {h: c + n for h, c in k.on.items()}
 
 
-def _thin(t: Node) -> None:
-    t.kids = [k for k in t.kids if k.n > 1]
+def fold(trees: list[tuple[Node, int]]) -> tuple[Node, int]:
+    """The template of pages or templates in the order given, each with the number of its pages, at most, that a
+    node may be on which it lacks; and that number. Nodes and hashes that fewer than ``SHARE`` of the pages of a run have are
+    left out: they have that share of all pages only if they have it in another run."""
+    while len(trees) > 1:
+        trees = [_run(trees[i : i + RUN]) for i in range(0, len(trees), RUN)]
+    return trees[0]
+
+
+def _run(trees: list[tuple[Node, int]]) -> tuple[Node, int]:
+    t, rest = trees[0]
+    if len(trees) == 1:
+        return t, rest
+    for p, more in trees[1:]:
+        merge(t, p, rest, more)
+        rest += more
+    _thin(t, SHARE * t.n)
+    return t, math.ceil(SHARE * t.n) - 1
+
+
+def _thin(t: Node, least: float) -> None:
+    t.on = {h: n for h, n in t.on.items() if n >= least}
+    t.kids = [k for k in t.kids if k.n >= least]
     for k in t.kids:
-        _thin(k)
+        _thin(k, least)
     t.shape = t.shaped()
 
 
-def places(t: Node, p: Node) -> list[tuple[str, str]]:
+def template(pages: list[str]) -> Node:
+    """The alignment of these pages in the order given, without the nodes that can't be on ``SHARE`` of them."""
+    return fold([(parse(p), 0) for p in pages])[0]
+
+
+def places(t: Node, p: Node) -> list[tuple[str, str | int]]:
     """The texts of a page in their order, each with its place in the template: the number of its slot,
     or the number of the slot above it and the tags from there, as ``12/li/#``."""
     number = {id(k): i for i, k in enumerate(t.below())}
-    out: list[tuple[str, str]] = []
+    out: list[tuple[str, str | int]] = []
 
     def outside(place: str, b: Node) -> None:
         place = f"{place}/{b.tag}"
@@ -282,33 +346,59 @@ def places(t: Node, p: Node) -> list[tuple[str, str]]:
     return out
 
 
-def place_hash(place: str, text: str) -> int:
-    return xxhash.xxh3_64_intdigest(f"{place} {text}") - (1 << 63)
+def place_hash(place: str, text: str | int) -> int:
+    """Of a text or its hash in its place."""
+    return xxhash.xxh3_64_intdigest(f"{place} {text if isinstance(text, int) else text_hash(text)}") - (1 << 63)
 
 
 def own_texts(t: Node | None, p: Node, same: set[int]) -> list[str]:
     """The texts of a page that aren't template, in their order; ``same`` has the ``place_hash`` of those that are."""
+    if not same:
+        return [next(iter(k.texts)) for k in p.below() if k.tag == "#"]
     return [x for place, x in places(t if t is not None else Node("#root"), p) if place_hash(place, x) not in same]
 
 
-def induce(pages: DataFrame, host: str, page: str) -> DataFrame:
-    """``host``, ``pages``, ``tree``: the number of pages of each host and its template, as nested lists in JSON.
+def strip(pages: DataFrame, host: str, page: str) -> DataFrame:
+    """``host``, ``bones``, ``n``: the tags of each page and the hashes of its texts, equal ones as one with their number.
 
-    The ``SEEDS`` pages of a host are those with the smallest hashes among its distinct pages. Only
-    hashes are ranked, each task passing on its own smallest; then so many pages of a host are gathered.
     Null pages are left out; a null host is one host.
     """
-    d = pages.where(F.col(page).isNotNull()).select(F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"), F.col(page).alias("page"), F.xxhash64(page).alias("h"))
-    n = d.groupBy("host").agg(F.count("*").alias("pages"))
-    first = Window.partitionBy("host").orderBy("h")
-    seeds = d.groupBy("host", "h").agg(F.count("*")).withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= SEEDS).select("host", "h")
-    chosen = d.join(seeds, ["host", "h"], "left_semi").groupBy("host", "h").agg(F.min("page").alias("page"))
+    d = pages.where(F.col(page).isNotNull()).select(F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"), F.col(page).alias("page"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bones = [json.dumps(parse_unsigned(x).bones(), separators=(",", ":")) for x in batch.column("page").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(bones, pa.string())], names=["host", "bones"])
+
+    return d.mapInArrow(run, "host string, bones string").groupBy("host", "bones").agg(F.count("*").alias("n"))
+
+
+def induce(equal: DataFrame) -> DataFrame:
+    """``host``, ``pages``, ``tree``: the number of pages of each host of ``strip`` and its template, as nested lists in JSON.
+
+    All pages of a host are aligned. They are dealt by hash to parts of about ``PART`` pages; ``FAN`` templates
+    of parts make one of the next, until the host has one.
+    """
+    n = cut(equal.groupBy("host").agg(F.ceil(F.sum("n") / PART).alias("parts")))
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        root = template([p for _, p in sorted(zip(pdf["h"], pdf["page"]))])
-        return pd.DataFrame({"host": [pdf["host"].iloc[0]], "tree": [json.dumps(root.pack())]})
+        pages = [(Node.of_bones(json.loads(x), int(c)), 0) for _, x, c in sorted(zip(pdf["h"], pdf["bones"], pdf["n"]))]
+        return packed(pdf, *fold(pages))
+
+    def join(pdf: pd.DataFrame) -> pd.DataFrame:
+        trees = [(Node.unpack(json.loads(x)), int(rest)) for _, x, rest in sorted(zip(pdf["part"], pdf["tree"], pdf["rest"]))]
+        return packed(pdf, *fold(trees))
+
+    def packed(pdf: pd.DataFrame, tree: Node, rest: int) -> pd.DataFrame:
+        return pd.DataFrame({"host": [pdf["host"].iloc[0]], "part": [pdf["to"].iloc[0]], "pages": [tree.n], "rest": [rest], "tree": [json.dumps(tree.pack(), separators=(",", ":"))]})
 
-    return chosen.groupBy("host").applyInPandas(build, "host string, tree string").join(n, "host")
+    schema = "host string, part bigint, pages bigint, rest bigint, tree string"
+    t = equal.withColumn("h", F.xxhash64("bones")).join(n, "host").withColumn("to", F.pmod("h", "parts")).groupBy("host", "to").applyInPandas(build, schema)
+    parts = n.agg(F.max("parts")).first()[0] or 0
+    while parts > 1:
+        t = t.withColumn("to", F.floor(F.col("part") / FAN)).groupBy("host", "to").applyInPandas(join, schema)
+        parts = math.ceil(parts / FAN)
+    return t.select("host", "pages", "tree")
 
 
 def own_content(pages: DataFrame, id: str, host: str, page: str) -> DataFrame:
@@ -320,20 +410,21 @@ def own_content(pages: DataFrame, id: str, host: str, page: str) -> DataFrame:
     """
     kind = pages.schema[id].dataType.simpleString()
     d = cut(pages.select(F.col(id).alias("id"), F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"), F.col(page).alias("page")))  # read by each pass
-    t = cut(induce(d, "host", "page"))
+    equal = cut(strip(d, "host", "page"))
+    t = cut(induce(equal))
     none = F.array().cast("array<bigint>")
 
-    def given(t: DataFrame):
+    def given(d: DataFrame, t: DataFrame):
         """``d`` and its host's template and constant texts, joined or as a broadcast."""
         size = t.agg(F.sum(F.length("tree") + 8 * F.size("same"))).first()[0] or 0
         if size > MOST_BYTES:
             return d.join(t.select("host", "tree", "same"), "host", "left"), None
         return d, pages.sparkSession.sparkContext.broadcast({r["host"]: (r["tree"], r["same"]) for r in t.collect()})
 
-    def roots(batch: pa.RecordBatch, shared, known: dict) -> Iterator[tuple]:
+    def roots(batch: pa.RecordBatch, column: str, shared, known: dict) -> Iterator[tuple]:
         """Each page with its host, and the host's template and constant texts."""
         packed = zip(batch.column("tree").to_pylist(), batch.column("same").to_pylist()) if shared is None else None
-        for page, name in zip(batch.column("page").to_pylist(), batch.column("host").to_pylist()):
+        for page, name in zip(batch.column(column).to_pylist(), batch.column("host").to_pylist()):
             have = next(packed) if packed is not None else None
             if page is None:
                 yield None, name, None, None
@@ -345,7 +436,7 @@ def own_content(pages: DataFrame, id: str, host: str, page: str) -> DataFrame:
                 known[name] = Node.unpack(json.loads(tree)), set(same)
             yield page, name, *known[name]
 
-    rows, shared = given(t.withColumn("same", none))
+    rows, shared = given(equal, t.withColumn("same", none))
 
     def count(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
         known: dict = {}
@@ -357,9 +448,9 @@ def own_content(pages: DataFrame, id: str, host: str, page: str) -> DataFrame:
             return pa.RecordBatch.from_arrays(columns, names=["host", "h", "n"])
 
         for batch in batches:
-            for page, name, root, _ in roots(batch, shared, known):
-                if page is not None:
-                    n.update({(name, place_hash(*x)) for x in places(root, parse(page))})
+            for (bones, name, root, _), c in zip(roots(batch, "bones", shared, known), batch.column("n").to_pylist()):
+                for h in {place_hash(*x) for x in places(root, Node.of_bones(json.loads(bones), c))}:
+                    n[name, h] += c
                 if len(n) >= MOST_COUNTS:
                     yield out()
         yield out()
@@ -368,12 +459,12 @@ def own_content(pages: DataFrame, id: str, host: str, page: str) -> DataFrame:
     n = n.join(t.select("host", "pages"), "host").where(F.col("n") >= SHARE * F.col("pages"))
     same = n.groupBy("host").agg(F.sort_array(F.collect_list("h")).alias("same"))  # at most 1 / SHARE times the texts of a page
     t = cut(t.join(same, "host", "left").select("host", "tree", F.coalesce("same", none).alias("same")))
-    rows, shared = given(t)
+    rows, shared = given(d, t)
 
     def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
         known: dict = {}
         for batch in batches:
-            out = [None if page is None else "\n".join(own_texts(root, parse(page), same)) for page, _, root, same in roots(batch, shared, known)]
+            out = [None if page is None else "\n".join(own_texts(root, (parse if same else parse_unsigned)(page), same)) for page, _, root, same in roots(batch, "page", shared, known)]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(out, pa.string())], names=["id", "content"])
 
     return rows.mapInArrow(run, f"id {kind}, content string").withColumnRenamed("id", id)

@@ -31,7 +31,7 @@ def main(folder: str) -> None:
             hosts[language.get(r["page_id"], "")][r["id"]] = r["text"]
     found, true = set(), set()
     for pages in hosts.values():
-        root = wrappers.template(sorted(pages.values(), key=lambda t: wrappers.place_hash("", t))[: wrappers.SEEDS])
+        root = wrappers.template(sorted(pages.values(), key=lambda t: wrappers.place_hash("", t)))
         trees = {i: wrappers.parse(t) for i, t in pages.items()}
         n = Counter()
         for t in trees.values():

@@ -165,6 +165,20 @@ def test_own_content_is_the_same_in_any_order(spark):
     assert results[0][0] == "short" and all(results[0][i] == f"own {i}" for i in range(1, 10))
 
 
+@pytest.mark.parametrize("part, fan", [(256, 64), (4, 2)])
+def test_own_content_has_its_template_from_all_pages(spark, monkeypatch, part, fan):
+    """Most pages share a table that those with the smallest hashes lack; an entry that moves between its rows isn't template."""
+    monkeypatch.setattr(wrappers, "PART", part, raising=False)
+    monkeypatch.setattr(wrappers, "FAN", fan, raising=False)
+    plain = [r["x"] for r in spark.range(1000).select(F.format_string("<p>own %d</p>", "id").alias("x")).orderBy(F.xxhash64("x")).limit(6).collect()]
+    cells = [[f"no {i} {k}" if i % 3 != k else "yes" for k in range(3)] for i in range(12)]
+    tables = ["<p>top</p><table><tr><td>head" + "".join(f"<tr><td>{c}" for c in row) + "</table>" for row in cells]
+    df = spark.createDataFrame([(i, "h", x) for i, x in enumerate(tables + plain)], "id bigint, host string, text string")
+    assert {r["id"] for r in df.orderBy(F.xxhash64("text")).limit(6).collect()} == set(range(12, 18))
+    got = dict(rows(wrappers.own_content(df, "id", "host", "text")))
+    assert got == {**{i: "\n".join(row) for i, row in enumerate(cells)}, **{12 + i: x[3:-4] for i, x in enumerate(plain)}}
+
+
 def test_nesting_of_any_depth_keeps_its_texts(spark):
     deep = "<div>" * 3000 + "deep" + "</div>" * 3000 + "<p>after"
     df = spark.createDataFrame([(1, "h", deep), (2, "g", "x" * 100_000), (3, "g", "")], "id bigint, host string, text string")

@@ -227,6 +227,14 @@ def test_wrapper_induction():
     assert wrappers.match(wrappers.parse("<p>a<b>c</b>"), wrappers.parse("<p>a<i>x</i><b>d</b>")) == 1 + 1 + 1 + 1 + 1
 
 
+def test_template_keeps_what_half_of_all_pages_have():
+    """The footer is on the first 50 of 96 pages, the note on four of each 16."""
+    pages = [f"<p>own {i}</p>" + ("<i>foot</i>" if i < 50 else "") + ("<b>note</b>" if i % 4 == 0 else "") for i in range(96)]
+    root = wrappers.template(pages)
+    assert root.n == 96 and [k.tag for k in root.kids] == ["p", "i"]
+    assert root.kids[1].n >= 50 and wrappers.parse("<i>foot</i>").kids[0].whole <= root.kids[1].whole
+
+
 def test_running_text_is_not_a_whole_ending():
     s = truncation.stop
     for cut in ["It was open from 1914–19", "The town grew — and th", "The town grew -- and th", "x.\n**Foo** is a town in the nor", "x.\n*Foo* is a town in the nor"]:
