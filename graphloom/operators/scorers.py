@@ -80,10 +80,22 @@ def share(scores: DataFrame) -> DataFrame:
 
 @scorer("baseline")
 def baseline(ctx: Context, cases: DataFrame, classes: DataFrame) -> DataFrame:
-    """The share of the distinct in-links of each class."""
-    c = classes.select("class_id", "class_idx", "member").distinct()
+    """The share of the distinct in-links of each class.
+
+    In-links are counted once per page; only those of classes with several members are joined to their
+    classes, to count what the members share once.
+    """
+    c = cut(classes.select("class_id", "class_idx", "member").distinct())
     e = ctx.edges
-    n = c.join(e, c["member"] == e["dst"], "left").select("class_id", "class_idx", "src").distinct().groupBy("class_id", "class_idx").agg(F.count("src").alias("n"))
+    sizes = c.groupBy("class_id", "class_idx").agg(F.count("*").alias("_k"), F.min("member").alias("member"))
+    degrees = e.groupBy(F.col("dst").alias("_d")).agg(F.count("*").alias("_n"))
+    one = sizes.where("_k < 2").join(degrees, F.col("member") == F.col("_d"), "left").select("class_id", "class_idx", F.coalesce("_n", F.lit(0)).alias("n"))
+    many = sizes.where("_k > 1").select("class_id", "class_idx").join(c, ["class_id", "class_idx"])
+    if many.isEmpty():
+        n = one
+    else:
+        n = one.unionByName(many.join(e, many["member"] == e["dst"], "left").groupBy("class_id", "class_idx").agg(F.count_distinct("src").alias("n")))
+    n = cut(n)
     whole = n.groupBy("class_id").agg(F.sum("n").alias("_all"))
     n = n.join(whole, "class_id").select("class_id", "class_idx", (F.col("n") / F.greatest("_all", F.lit(1))).alias("score"))
     return cases.select("case_id", "class_id").join(n, "class_id").select("case_id", "class_idx", "score")

@@ -42,8 +42,10 @@ def links(spark: SparkSession, d: str) -> DataFrame:
 
 def labelled(spark: SparkSession, d: str, of: DataFrame | None = None) -> DataFrame:
     """A row per label that has a token, with ``k``, its place from 1."""
-    e = (of if of is not None else links(spark, d)).select("link_id", "src", "dst", "seen_at", F.posexplode("labels").alias("_k", "_label"))
-    return e.select("link_id", "src", "dst", "seen_at", (F.col("_k") + 1).alias("k"), normal_label(F.col("_label")).alias("text")).where("text IS NOT NULL")
+    of = of if of is not None else links(spark, d)
+    keep = [c for c in ("link_id", "src", "dst", "seen_at") if c in of.columns]
+    e = of.select(*keep, F.posexplode("labels").alias("_k", "_label"))
+    return e.select(*keep, (F.col("_k") + 1).alias("k"), normal_label(F.col("_label")).alias("text")).where("text IS NOT NULL")
 
 
 def index(spark: SparkSession, d: str) -> DataFrame:
@@ -316,7 +318,7 @@ class Cases:
 
     def __init__(self, spark: SparkSession, d: str, **options) -> None:
         self.spark, self.d, self.options = spark, d, options
-        self.links = cut(links(spark, d).select("link_id", "src", "dst", "labels", "seen_at"))
+        self.links = cut(links(spark, d).select("src", "dst", "labels"))
 
     @cached_property
     def context(self) -> scorers.Context:

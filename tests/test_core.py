@@ -410,3 +410,27 @@ def test_classifier(spark):
     docs = spark.createDataFrame([(1, "a b c a b c a b c a b d"), (2, "x y z x y z x y z x y w"), (3, ""), (4, None)], "id int, text string")
     got = {r["doc"]: r["label"] for r in counting.classify(docs.where("id <= 4"), docs.where("id = 1"), docs.where("id = 2"), "id", "text", mode="standard").collect()}
     assert got == {1: "First", 2: "Second", 3: "same", 4: "same"}
+
+
+def shuffled_rows(spark, act):
+    """The rows that an action writes into shuffles."""
+    sc = spark.sparkContext
+    gateway, store = sc._gateway, sc._jsc.sc().statusStore()
+    total = lambda: sum(s.shuffleWriteRecords() for s in sc._jvm.scala.jdk.javaapi.CollectionConverters.asJava(store.stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), None)))
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    before = total()
+    act()
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    return total() - before
+
+
+def test_baseline_of_hubs(spark):
+    """A hub that is a member of many classes isn't expanded for each; members of a class share in-links."""
+    e = spark.range(2000).select(F.concat(F.lit("s"), F.col("id")).alias("src"), F.lit("hub").alias("dst")).unionByName(spark.createDataFrame([("s1", "a"), ("x", "a")], "src string, dst string"))
+    classes = spark.range(500).select(F.concat(F.lit("c"), F.col("id")).alias("class_id"), F.lit(0).alias("class_idx"), F.lit("hub").alias("member"))
+    classes = classes.unionByName(spark.createDataFrame([("c0", 1, "a"), ("c0", 2, "none"), ("d", 0, "hub"), ("d", 0, "a"), ("d", 1, "a")], "class_id string, class_idx int, member string"))
+    cases = spark.createDataFrame([(1, "c0"), (2, "d"), (3, "c1")], "case_id bigint, class_id string")
+    got = []
+    n = shuffled_rows(spark, lambda: got.extend(rows(scorers.baseline(scorers.Context(links=e, graph=e), cases, classes))))
+    assert got == [(1, 0, pytest.approx(2000 / 2002)), (1, 1, pytest.approx(2 / 2002)), (1, 2, 0.0), (2, 0, pytest.approx(2001 / 2003)), (2, 1, pytest.approx(2 / 2003)), (3, 0, 1.0)]
+    assert n < 50_000
