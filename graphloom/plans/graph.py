@@ -40,6 +40,19 @@ def links(spark: SparkSession, d: str) -> DataFrame:
     return raw.select("link_id", "src", canonical_target(F.col("dst")).alias("dst"), "labels", "seen_at")
 
 
+#: Of so many repeated ids at most are sent to the executors.
+MOST_REPEATED = 1_000_000
+
+
+def once(raw: DataFrame, key: str) -> DataFrame:
+    """One row of each ``key``: ids are counted first, and only rows of repeated ones are shuffled whole."""
+    repeated = cut(raw.groupBy(F.col(key).alias("_id")).agg(F.count("*").alias("_n")).where("_n > 1").select("_id"))
+    if repeated.count() > MOST_REPEATED:
+        return raw.dropDuplicates([key])
+    few, same = F.broadcast(repeated), F.col(key).eqNullSafe(F.col("_id"))
+    return raw.join(few, same, "left_anti").unionByName(raw.join(few, same, "left_semi").dropDuplicates([key]))
+
+
 def labelled(spark: SparkSession, d: str, of: DataFrame | None = None) -> DataFrame:
     """A row per label that has a token, with ``k``, its place from 1."""
     of = of if of is not None else links(spark, d)
@@ -318,7 +331,8 @@ class Cases:
 
     def __init__(self, spark: SparkSession, d: str, **options) -> None:
         self.spark, self.d, self.options = spark, d, options
-        self.links = cut(links(spark, d).select("src", "dst", "labels"))
+        raw = once(table(spark, d, "links_raw").select("link_id", "src", "dst", "labels"), "link_id")
+        self.links = cut(raw.select("src", canonical_target(F.col("dst")).alias("dst"), "labels"))
 
     @cached_property
     def context(self) -> scorers.Context:

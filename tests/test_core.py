@@ -434,3 +434,41 @@ def test_baseline_of_hubs(spark):
     n = shuffled_rows(spark, lambda: got.extend(rows(scorers.baseline(scorers.Context(links=e, graph=e), cases, classes))))
     assert got == [(1, 0, pytest.approx(2000 / 2002)), (1, 1, pytest.approx(2 / 2002)), (1, 2, 0.0), (2, 0, pytest.approx(2001 / 2003)), (2, 1, pytest.approx(2 / 2003)), (3, 0, 1.0)]
     assert n < 50_000
+
+
+def test_rows_once(spark, monkeypatch):
+    df = spark.createDataFrame([(1, "a"), (1, "a"), (2, "b"), (None, "c"), (None, "c"), (3, None)], "id int, v string")
+    want = [(1, "a"), (2, "b"), (3, None), (None, "c")]
+    assert rows(graph.once(df, "id")) == want
+    assert rows(graph.once(df.where("v <> 'a'").unionByName(df.limit(0)), "id")) == [(2, "b"), (None, "c")]
+    monkeypatch.setattr(graph, "MOST_REPEATED", 0)
+    assert rows(graph.once(df, "id")) == want
+
+
+@pytest.fixture(scope="module")
+def hub_folder(spark, tmp_path_factory):
+    """150 ambiguous pages list a hub to which 2000 pages link."""
+    d = str(tmp_path_factory.mktemp("hubs"))
+    n = lambda prefix: F.concat(F.lit(prefix), F.col("id"))
+    link = lambda r, base, src, dst: r.select((F.col("id") + base).alias("link_id"), src.alias("src"), dst.alias("dst"), F.array(F.lit("Main"), dst).alias("labels"), F.lit("2012-01-01").cast("timestamp_ntz").alias("seen_at"))
+    dabs = spark.range(150)
+    parts = [link(spark.range(2000), 0, n("en:S"), F.lit("en:Hub")), link(dabs, 10_000, n("en:D"), F.lit("en:Hub")), link(dabs, 20_000, n("en:D"), n("en:C")), link(spark.range(150), 30_000, n("en:S"), n("en:D")), link(spark.range(1), 40_000, F.lit("en:S0"), F.lit("en:C0"))]
+    all_ = parts[0]
+    for p in parts[1:]:
+        all_ = all_.unionByName(p)
+    all_.unionByName(parts[3]).write.parquet(f"{d}/links_raw.parquet")
+    for name, columns in (("pages", "id bigint, language string, namespace_id int, title string"), ("namespaces", "lang string, ns_id int, name string"), ("revisions", "id bigint, page_id bigint, text string, saved_at timestamp_ntz")):
+        spark.createDataFrame([], columns).write.parquet(f"{d}/{name}.parquet")
+    dabs.select(n("en:D").alias("title"), F.lit(None).cast("string").alias("template")).write.parquet(f"{d}/dabs.parquet")
+    return d
+
+
+def hub_rows(spark, d, name):
+    """What a query gives on ``hub_folder``, without 2000 rows for each class with the hub."""
+    got = []
+    assert shuffled_rows(spark, lambda: got.extend(graph.registry.queries[name](spark, d).collect())) < 100_000
+    return got
+
+
+def test_svm_scores_of_hubs(spark, hub_folder):
+    assert len(hub_rows(spark, hub_folder, "svm_scores")) == 300
