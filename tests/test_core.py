@@ -477,3 +477,7 @@ def test_svm_scores_of_hubs(spark, hub_folder):
 def test_weighted_combination_of_hubs(spark, hub_folder):
     got = sorted(tuple(r) for r in hub_rows(spark, hub_folder, "weighted_combination"))
     assert len(got) == 300 and sum(s for _, _, s in got) == pytest.approx(37.5, abs=1e-3)  # the labels lead to no class, so 0.25 of the first share
+
+
+def test_roc_rows_of_hubs(spark, hub_folder):
+    assert sum(r["correct"] for r in hub_rows(spark, hub_folder, "roc_rows")) == 150
