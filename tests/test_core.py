@@ -481,3 +481,7 @@ def test_weighted_combination_of_hubs(spark, hub_folder):
 
 def test_roc_rows_of_hubs(spark, hub_folder):
     assert sum(r["correct"] for r in hub_rows(spark, hub_folder, "roc_rows")) == 150
+
+
+def test_cumulative_precision_of_hubs(spark, hub_folder):
+    assert sorted(map(tuple, hub_rows(spark, hub_folder, "cumulative_precision"))) == [(i + 1, 1.0) for i in range(150)]
