@@ -485,3 +485,7 @@ def test_roc_rows_of_hubs(spark, hub_folder):
 
 def test_cumulative_precision_of_hubs(spark, hub_folder):
     assert sorted(map(tuple, hub_rows(spark, hub_folder, "cumulative_precision"))) == [(i + 1, 1.0) for i in range(150)]
+
+
+def test_svm_rank_rows_of_hubs(spark, hub_folder):
+    assert sum(r["line"].startswith("1 ") for r in hub_rows(spark, hub_folder, "svm_rank_rows")) == 151
