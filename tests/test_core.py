@@ -489,3 +489,7 @@ def test_cumulative_precision_of_hubs(spark, hub_folder):
 
 def test_svm_rank_rows_of_hubs(spark, hub_folder):
     assert sum(r["line"].startswith("1 ") for r in hub_rows(spark, hub_folder, "svm_rank_rows")) == 151
+
+
+def test_topk_accuracy_of_hubs(spark, hub_folder):
+    assert list(map(tuple, hub_rows(spark, hub_folder, "topk_accuracy"))) == [(150, 150, 1.0)]
