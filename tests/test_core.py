@@ -493,3 +493,11 @@ def test_svm_rank_rows_of_hubs(spark, hub_folder):
 
 def test_topk_accuracy_of_hubs(spark, hub_folder):
     assert list(map(tuple, hub_rows(spark, hub_folder, "topk_accuracy"))) == [(150, 150, 1.0)]
+
+
+def test_neighbour_features_of_hubs(spark, hub_folder):
+    """The edges are made once, from rows without their ids; each page that links to an ambiguous one has one pick."""
+    got = []
+    n = shuffled_rows(spark, lambda: got.extend(graph.neighbour_features(spark, hub_folder).collect()))
+    assert {(r["dab"], r["src"], r["picked"], r["feature"]) for r in got if r["dab"] != "en:D0"} == {(f"en:D{i}", f"en:S{i}", "en:Hub", f) for i in range(1, 150) for f in [*(f"en:S{k}" for k in range(2000)), *(f"en:D{k}" for k in range(150))]}
+    assert n < 4_000
