@@ -284,7 +284,9 @@ def tfidf_in_links(ctx: Context, cases: DataFrame, classes: DataFrame) -> DataFr
     k = ctx.options.get("sample", 100)
     c = classes.select("class_id", "class_idx", "member").distinct()
     e = ctx.edges
-    near = c.join(e, c["member"] == e["dst"]).select("class_id", "class_idx", F.col("src").alias("page")).distinct()
+    first = Window.partitionBy("dst").orderBy(F.md5("src"), "src")
+    least = e.join(c.select(F.col("member").alias("dst")).distinct(), "dst", "left_semi").withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= k).select(F.col("dst").alias("member"), F.col("src").alias("page"))  # a class's first are among its members' first
+    near = c.join(least, "member").select("class_id", "class_idx", "page").distinct()
     w = Window.partitionBy("class_id", "class_idx").orderBy(F.md5("page"), "page")
     near = near.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).drop("_r").unionByName(c.withColumnRenamed("member", "page")).distinct()
     m = cases.select("case_id", "class_id", "src").join(near.withColumnRenamed("page", "member"), "class_id")

@@ -27,11 +27,15 @@ def tfidf(bags: DataFrame, counts: DataFrame, n_docs: int, idf: str = "reference
 
 
 def cosines(pairs: DataFrame, weights: DataFrame) -> DataFrame:
-    """``a``, ``b``, ``sim``: the dot product of the weights of each given pair; 0 without common terms."""
+    """``a``, ``b``, ``sim``: the dot product of the weights of each given pair; 0 without common terms.
+    Only pairs of which both have weights are joined to them."""
+    weights = cut(weights.where("w <> 0"))
     left = weights.select(F.col("doc").alias("a"), "term", F.col("w").alias("_wa"))
     right = weights.select(F.col("doc").alias("b"), "term", F.col("w").alias("_wb"))
-    p = pairs.select("a", "b").distinct()
-    sums = p.join(left, "a").join(right, ["b", "term"]).groupBy("a", "b").agg(F.sum(F.col("_wa") * F.col("_wb")).alias("sim"))
+    p = cut(pairs.select("a", "b").distinct())
+    known = weights.select("doc").distinct()
+    both = cut(p.join(known.withColumnRenamed("doc", "a"), "a", "left_semi").join(known.withColumnRenamed("doc", "b"), "b", "left_semi"))
+    sums = both.join(left, "a").join(right, ["b", "term"]).groupBy("a", "b").agg(F.sum(F.col("_wa") * F.col("_wb")).alias("sim"))
     return p.join(sums, ["a", "b"], "left").select("a", "b", F.coalesce("sim", F.lit(0.0)).alias("sim"))
 
 

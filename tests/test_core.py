@@ -1,6 +1,7 @@
 """Kernels and operators on hand-worked inputs and against brute force."""
 
 import collections
+import hashlib
 import math
 import random
 from unittest import mock
@@ -501,3 +502,19 @@ def test_neighbour_features_of_hubs(spark, hub_folder):
     n = shuffled_rows(spark, lambda: got.extend(graph.neighbour_features(spark, hub_folder).collect()))
     assert {(r["dab"], r["src"], r["picked"], r["feature"]) for r in got if r["dab"] != "en:D0"} == {(f"en:D{i}", f"en:S{i}", "en:Hub", f) for i in range(1, 150) for f in [*(f"en:S{k}" for k in range(2000)), *(f"en:D{k}" for k in range(150))]}
     assert n < 4_000
+
+
+def test_in_link_samples_of_hubs(spark):
+    """A hub's in-links aren't joined to each class; a class takes the first of all its members' in-links."""
+    e = spark.range(2000).select(F.concat(F.lit("s"), F.col("id")).alias("src"), F.lit("hub").alias("dst")).unionByName(spark.createDataFrame([(f"x{i}", "a") for i in range(9)], "src string, dst string"))
+    classes = spark.range(500).select(F.concat(F.lit("c"), F.col("id")).alias("class_id"), F.lit(0).alias("class_idx"), F.lit("hub").alias("member"))
+    classes = classes.unionByName(spark.createDataFrame([("d", 0, "hub"), ("d", 0, "a"), ("d", 1, "a")], "class_id string, class_idx int, member string"))
+    cases = spark.createDataFrame([(1, "c0", "p"), (2, "d", "p")], "case_id bigint, class_id string, src string").withColumn("dab", F.lit("p"))
+    md5 = lambda s: hashlib.md5(s.encode()).hexdigest()
+    first = sorted([*(f"s{i}" for i in range(2000)), *(f"x{i}" for i in range(9))], key=lambda s: (md5(s), s))[:5]
+    docs = spark.createDataFrame([("p", "one two"), (first[4], "two three"), *((f"z{i}", f"w{chr(97 + i)}") for i in range(9))], "title string, text string")
+    got = []
+    n = shuffled_rows(spark, lambda: got.extend(rows(scorers.tfidf_in_links(scorers.Context(links=e, graph=e, docs=docs, options={"sample": 5}), cases, classes))))
+    want = {r["title"]: r["sim"] for r in [{"title": x["b"], "sim": x["sim"]} for x in similarity.cosines(spark.createDataFrame([("p", first[4])], "a string, b string"), scorers.Context(docs=docs).weights()).collect()]}[first[4]]
+    assert want > 0 and {(c, i): s for c, i, s in got}[(2, 0)] == pytest.approx(want) and {(c, i): s for c, i, s in got}[(2, 1)] == 0
+    assert n < 50_000
