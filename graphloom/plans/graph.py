@@ -54,8 +54,9 @@ def once(raw: DataFrame, key: str) -> DataFrame:
     repeated = cut(raw.groupBy(F.col(key).alias("_id")).agg(F.count("*").alias("_n")).where("_n > 1").select("_id"))
     if repeated.count() > MOST_REPEATED:
         return raw.dropDuplicates([key])
-    few, same = F.broadcast(repeated), F.col(key).eqNullSafe(F.col("_id"))
-    return raw.join(few, same, "left_anti").unionByName(raw.join(few, same, "left_semi").dropDuplicates([key]))
+    few, same = F.broadcast(repeated.where("_id IS NOT NULL")), F.col(key) == F.col("_id")
+    again = raw.join(few, same, "left_semi").unionByName(raw.where(F.col(key).isNull())).dropDuplicates([key])
+    return raw.where(F.col(key).isNotNull()).join(few, same, "left_anti").unionByName(again)
 
 
 def labelled(spark: SparkSession, d: str, of: DataFrame | None = None) -> DataFrame:
